@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("minhash_dedup",)
+MODULES = ("secret_scan", "minhash_dedup", "quality_rules")
 
 
 def _all(what: str) -> dict:
