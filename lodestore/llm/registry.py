@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secret_scan", "minhash_dedup", "chat_format", "decontaminate", "pii_pseudonyms", "quality_rules", "license_scan")
+MODULES = ("secret_scan", "minhash_dedup", "chat_format", "decontaminate", "pii_pseudonyms", "quality_rules", "license_scan", "html_extract")
 
 
 def _all(what: str) -> dict:
