@@ -3,15 +3,15 @@
 Each distinct shingle set gets ``COORDS`` MinHash values. Two sets of the wanted
 similarity agree in at least ``MATCHES`` of them but for a chance below 1e-8, so
 they share one of the ``COORDS - MATCHES + 1`` coordinate-value pairs that come
-first in any common order of pairs. Pairs are ordered from rare to frequent, by a
-fixed-size count sketch over all documents; only that prefix is posted, and the
-frequent rest is skipped while merging and only looked up when a candidate's
-matches are counted.
+first in any common order of pairs. Pairs are ordered from rare to frequent, as
+counted over all documents; only that prefix is posted, and the frequent rest is
+skipped while merging and only looked up when a candidate's matches are counted.
 
 Posting lists are not expanded into all pairs. Each member is first joined to the
-list's smallest member; confirmed links make components; then only members of
-different components that share a list are compared. No link between components
-can be lost by this, and a group of n copies costs about n links.
+list's smallest member; confirmed links make components; then, in blocks, members
+outside a list's largest component are compared with those of other components.
+No link between components can be lost by this, a group of n copies costs about n
+links, and no step puts out a row for each pair.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from lodestore.llm.components import connected_components
 COORDS = 64
 #: Six standard deviations below the 51 matches expected at similarity 0.8.
 MATCHES = 32
-#: Cells of the count sketch for each coordinate; the sketch has 64 * 1024 numbers at any input size.
-CELLS = 1024
+#: Members of a posting list that one task compares at a time.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 32, COORDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -72,40 +72,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return raw[off[0] : off[0] + 4 * COORDS * len(column)].view(np.uint32).reshape(-1, COORDS)
 
 
-def _cells(sig: np.ndarray) -> np.ndarray:
-    return (sig & np.uint32(CELLS - 1)).astype(np.int64) + np.arange(COORDS) * CELLS
+def _postings(reps: DataFrame) -> DataFrame:
+    """(key, rep) for the rarest coordinate-value pairs of each set, as far as another set has them too.
 
-
-def _sketch(reps: DataFrame) -> np.ndarray:
-    """How many sets fall into each cell; COORDS * CELLS numbers reach the driver, whatever the input."""
-    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        total = np.zeros(COORDS * CELLS, dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(_cells(_matrix(batch.column(0))).ravel(), minlength=len(total))
-        cell = np.flatnonzero(total)
-        yield batch_of(schema, cell.astype(np.int32), total[cell])
-
-    counts = reps.select("sig").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COORDS * CELLS, dtype=np.int64)
-    out[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return out
-
-
-def _postings(reps: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, rep) for the rarest coordinate-value pairs of each set."""
+    A pair's frequency is counted over all sets. Pairs of one set are rarest of all
+    and come first in each prefix, but post nothing; they only use up its places.
+    """
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
-    prefix = COORDS - MATCHES + 1
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sig = _matrix(batch.column(1))
-        order = np.argsort(counts[_cells(sig)], axis=1, kind="stable")[:, :prefix]
-        pair = (order.astype(np.uint64) << np.uint64(32)) | np.take_along_axis(sig, order, axis=1)
-        return batch_of(schema, pair.ravel().astype(np.int64), np.repeat(batch.column(0).to_numpy(), prefix))
+        pair = (np.arange(COORDS, dtype=np.uint64) << np.uint64(32)) | _matrix(batch.column(1))
+        return batch_of(schema, pair.ravel().astype(np.int64), np.repeat(batch.column(0).to_numpy(), COORDS))
 
-    return map_arrow(reps.select("rep", "sig"), one, "key long, rep long")
+    pairs = map_arrow(reps.select("rep", "sig"), one, "key long, rep long")
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    many = scratch(pairs.join(shared, "key"))
+    ranked = many.selectExpr("key", "rep", "row_number() OVER (PARTITION BY rep ORDER BY n, key) AS place", "count(*) OVER (PARTITION BY rep) AS shared")
+    return ranked.where(F.col("place") + COORDS - F.col("shared") <= COORDS - MATCHES + 1).select("key", "rep")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -121,14 +104,21 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), one, "a long, b long").distinct()
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, items) with the whole shingle sets of the documents ``nodes`` (doc_id)."""
+    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+
+    def as_set(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch_of(schema, batch.column(0), [s.tobytes() for s in shingle_sets(batch.column(1), width)])
+
+    sets = map_arrow(docs.join(nodes, "doc_id").select("doc_id", "text"), as_set, "node long, items binary")
+    return scratch(sets.dropDuplicates(["node", "items"]))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole shingle sets are similar enough."""
-    set_schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def as_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch_of(set_schema, batch.column(0), [s.tobytes() for s in shingle_sets(batch.column(1), width)])
-
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep = []
         for x, y in zip(batch.column(2), batch.column(3)):
@@ -137,13 +127,86 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             keep.append(100 * both >= percent * (len(p) + len(q) - both))
         return batch_of(schema, batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)))
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = map_arrow(docs.join(nodes, "doc_id").select("doc_id", "text"), as_set, "node long, items binary")
-    sets = scratch(sets.dropDuplicates(["node", "items"]))
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
     left, right = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b"), one, "a long, b long")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows of ``members`` dealt to (hub, lb, rb): outsiders of a group's largest component meet its every member once.
+
+    Of the members, at most about ``BLOCK`` fall into one task together with at most
+    about ``8 * BLOCK`` outsiders, however large the group is.
+    """
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    groups = groups.selectExpr("hub", "major", f"cast(ceil(n / {BLOCK}) AS int) AS nb", f"cast(ceil((n - top) / {8 * BLOCK}) AS int) AS mb")
+    dealt = members.join(groups, "hub")
+    spread = lambda own, other: [f"cast(pmod(xxhash64(rep), {own}) AS int) AS own", f"explode(sequence(0, {other} - 1)) AS other"]
+    rest = [c for c in members.columns if c != "hub"]
+    left = dealt.where("component <> major").selectExpr("hub", *spread("mb", "nb"), "true AS outside", "major", *rest).withColumnsRenamed({"own": "lb", "other": "rb"})
+    right = dealt.selectExpr("hub", *spread("nb", "mb"), "false AS outside", "major", *rest).withColumnsRenamed({"own": "rb", "other": "lb"})
+    return left.unionByName(right)
+
+
+def _outer_pairs(t: pa.Table):
+    """For each outsider of a block: its row, and the rows whose signatures agree with it, of other components, best first."""
+    sig = _matrix(t.column("sig").combine_chunks())
+    rep, part, hub = (t.column(c).to_numpy() for c in ("rep", "component", "hub"))
+    outside, minor = t.column("outside").to_numpy(), part != t.column("major").to_numpy()
+    members = np.flatnonzero(~outside & (rep != hub))
+    for u in np.flatnonzero(outside & (rep != hub)):
+        v = members[(part[members] != part[u]) & (~minor[members] | (rep[members] > rep[u]))]
+        agree = (sig[v] == sig[u]).sum(axis=1)
+        near = agree >= MATCHES
+        if near.any():
+            yield u, v[near][np.argsort(-agree[near], kind="stable")]
+
+
+def _missed(posted: DataFrame, lists: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components whose members share a list, one for each member and component.
+
+    Lists are taken together by their hub, so that a member comes once. Inside a
+    block outsiders and members are compared by signature, and only those that
+    agree with some member of another component fetch their shingle sets.
+    """
+    groups = posted.join(lists, "key").groupBy("hub", "rep").agg(F.max("n").alias("n"))
+    members = groups.join(found, F.col("rep") == F.col("node"), "left").select("hub", "rep", F.coalesce("component", "rep").alias("component"))
+    members = scratch(members.join(reps, "rep"))
+    near_schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64())])
+    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(t: pa.Table) -> pa.Table:
+        rows = {int(k) for u, v in _outer_pairs(t) for k in (u, *v)}
+        rep = t.column("rep").to_numpy()
+        reps_of = np.unique(rep[sorted(rows)]) if rows else np.zeros(0, np.int64)
+        return pa.Table.from_arrays([pa.array(np.full(len(reps_of), t.column("hub")[0].as_py())), pa.array(reps_of)], schema=near_schema)
+
+    def links(t: pa.Table) -> pa.Table:
+        rep, part = t.column("rep").to_numpy(), t.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items").combine_chunks()]
+        out = []
+        for u, v in _outer_pairs(t):
+            mine, k = sets[u], 0
+            while len(v):
+                if k and k % 8 == 0 or k == len(v):  # leave what is linked already
+                    v, k = v[k:], 0
+                    continue
+                other = sets[v[k]]
+                both = len(np.intersect1d(mine, other, assume_unique=True)) if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)) else 0
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    out.append((int(rep[u]), int(rep[v[k]])))
+                    v, k = v[k + 1 :][part[v[k + 1 :]] != part[v[k]]], 0
+                else:
+                    k += 1
+        return pa.Table.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], schema=link_schema)
+
+    wanted = scratch(_blocks(members).groupBy("hub", "lb", "rb").applyInArrow(near, "hub long, rep long").distinct())
+    sets = _sets(docs, wanted.select(F.col("rep").alias("doc_id")).distinct(), width).toDF("rep", "items")
+    full = members.join(wanted, ["hub", "rep"]).join(sets, "rep").select("hub", "rep", "component", "sig", "items")
+    return _blocks(scratch(full)).groupBy("hub", "lb", "rb").applyInArrow(links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``.
 
@@ -159,27 +222,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch(linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
     reps = classes.select("rep", "sig")
-    posted = scratch(_postings(reps, _sketch(reps)))
+    posted = scratch(_postings(reps))
 
     lists = scratch(posted.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     star = posted.join(lists, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     edges = scratch(_confirmed(scratch(_agreeing(star, reps)), docs, width, percent))
     found = scratch(connected_components(edges))
 
-    # What the stars may have missed: members of one list that are still apart.
-    members = posted.join(lists.where("n > 2"), "key").join(found, F.col("rep") == F.col("node"), "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("component"))
-    members = scratch(members)
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    members = scratch(members.join(mixed, "key"))
-    minor = members.where("component <> major").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("hub").alias("h"))
-    other = members.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), "major")
-    apart = minor.join(other, "key").where("ca <> cb AND (cb = major OR a < b) AND a <> h AND b <> h").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = scratch(_agreeing(apart, reps))
-    if not late.isEmpty():
-        more = scratch(_confirmed(late, docs, width, percent))
-        if not more.isEmpty():
-            found = scratch(connected_components(edges.union(more)))
+    more = scratch(_missed(posted, lists, found, reps, docs, width, percent))
+    if not more.isEmpty():
+        found = scratch(connected_components(edges.union(more)))
 
     label = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
