@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secret_scan", "minhash_dedup", "quality_classifier", "chat_format", "decontaminate", "pii_pseudonyms", "quality_rules", "license_scan", "html_extract")
+MODULES = (
+    "secret_scan",
+    "minhash_dedup",
+    "sentencepiece_sample",
+    "quality_classifier",
+    "chat_format",
+    "decontaminate",
+    "pii_pseudonyms",
+    "quality_rules",
+    "license_scan",
+    "html_extract",
+)
 
 
 def _all(what: str) -> dict:
