@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy pass handles at a time; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
@@ -50,16 +51,24 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with ``fn`` applied to slices of at most about ``SLICE_BYTES`` of data each (or one row)."""
+    """``mapInArrow`` with ``fn`` applied to slices of at most about ``SLICE_BYTES`` of data each (or one row).
+
+    If ``df`` has a column ``row`` (see ``id_text``), ``fn`` keeps number and order of the
+    rows, and ``row`` is passed on beside what ``fn`` returns.
+    """
+    carried = "row" in df.columns
+    kind = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = fn(part)
                 if out is not None and out.num_rows:
+                    if carried:
+                        out = pa.RecordBatch.from_arrays([*out.columns, part.column("row")], [*out.schema.names, "row"])
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, kind.add(df.schema["row"]) if carried else kind)
 
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -67,7 +76,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
     n = batch.num_rows
     size = np.full(n, 16, dtype=np.int64)
     for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
             size += string_parts(column)[2]
     group = np.cumsum(size) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), n]
@@ -101,6 +110,11 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)
 
 
-def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the two columns, under fixed names, so that no other column of ``docs`` can clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def id_text(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """Only the two columns, under fixed names, so that no other column of ``docs`` can clash.
+
+    With ``carry``, all columns go along in a struct ``row``, for callers that want
+    whole rows back without a join.
+    """
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *whole)

@@ -11,12 +11,13 @@ signatures of a partition at once; the rare hits are verified by counting exactl
 which of the item's shingles the document has.
 
 Only the benchmark is broadcast, in blocks of at most ``BLOCK_BYTES`` of text; a
-larger one makes more passes over the documents. No document is shuffled.
+larger one takes more steps over each row. No document is shuffled.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import wordkit
-from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch
+from lodestore.llm.common import batch_of, id_text, map_arrow, read
 
 WIDTH = 5
 PERCENT = 80
@@ -83,27 +84,32 @@ def _windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     return wordkit.shingles(h, width)[whole], doc[: len(h) - width + 1][whole]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark's rows in blocks of bounded size; one block at a time is on the driver."""
-    block, size = [], 0
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The benchmark's rows in blocks of bounded size, and whether a block is the last; at most two are on the driver."""
+    before, block, size = None, [], 0
     for r in benchmark.toLocalIterator():
         block.append((r["item_id"], r["text"]))
         size += len(r["text"] or "")
         if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    yield block
+            if before is not None:
+                yield before, False
+            before, block, size = block, [], 0
+    if before is not None:
+        yield before, not block
+    if block or before is None:
+        yield block, True
 
 
-def find_items(docs: DataFrame, block: list[tuple[int, str]], width: int, percent: int) -> DataFrame:
-    """(doc_id, row, n_shingles of the document, item_ids, containments) for documents that hold items of one block."""
+def find_items(docs: DataFrame, block: list[tuple[int, str]], width: int, percent: int, last: bool) -> DataFrame:
+    """``docs`` (doc_id, text, item_ids, containments) with the items of one block added; after the last without text."""
     parts = {w: partitions(items, percent) for w, items in item_sets(block, width).items()}
-    schema = pa.schema([("doc_id", pa.int64()), ("item_ids", pa.list_(pa.int64())), ("containments", pa.list_(pa.float64()))])
+    kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("item_ids", pa.list_(pa.int64())), ("containments", pa.list_(pa.float64()))]
+    schema = pa.schema([k for k in kinds if not (last and k[0] == "text")])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = wordkit.split(batch.column(1))
         h = w.hashes()
-        found = defaultdict(list)
+        found = [list(zip(a, b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         for wide, many in parts.items():
             grams, doc = _windows(h, w.first, wide)
             for part in many:
@@ -113,13 +119,14 @@ def find_items(docs: DataFrame, block: list[tuple[int, str]], width: int, percen
                     n = int(np.isin(part.sets[k], grams[a:b]).sum())
                     if n >= part.need[k]:
                         found[d].append((part.ids[k], n / len(part.sets[k])))
-        rows = [sorted(found.get(d, []), key=lambda x: (x[0] is None, x)) for d in range(batch.num_rows)]
-        return batch_of(schema, batch.column(0), [[i for i, _ in r] for r in rows], [[c for _, c in r] for r in rows])
+        for x in found:
+            x.sort(key=lambda y: (y[0] is None, y))
+        return batch_of(schema, batch.column(0), *([] if last else [batch.column(1)]), [[i for i, _ in x] for x in found], [[c for _, c in x] for x in found])
 
-    return map_arrow(docs, one, "doc_id long, item_ids array<long>, containments array<double>")
+    return map_arrow(docs, one, ", ".join(["doc_id long"] + ["text string"] * (not last) + ["item_ids array<long>", "containments array<double>"]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, carry: bool = False) -> DataFrame:
     """(doc_id, item_ids, containments, kept): one row for each row of ``docs``.
 
     ``benchmark`` has item_id and text. ``item_ids`` are the items (repeated ones as
@@ -127,27 +134,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     holds ``percent`` in a hundred or more; a document with any is not kept. Items of
     fewer words are one shingle, to be found anywhere. Items without words, null or
     empty, are in no document; null texts hold nothing. Null ids are passed on.
-    Empty tables give no rows, or nothing found. Other columns are not looked at.
+    Empty tables give no rows, or nothing found. Other columns are not looked at; with
+    ``carry``, the whole row comes along as ``row``.
     """
-    docs = id_text(docs, id_col, text_col)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in _blocks(items):
-        found = find_items(docs, block, width, percent)
-        if out is None:
-            out = found
-        else:  # a benchmark of more than one block: join what its blocks found
-            out = _merge(out, found)
+    docs = id_text(docs, id_col, text_col, carry)
+    rest = ["row"] if carry else []
+    out = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("containments"), *rest)
+    for block, last in _blocks(items):
+        out = find_items(out, block, width, percent, last)
     return out.withColumn("kept", F.size("item_ids") == 0)
 
 
-def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Blocks are merged by document; rows that repeat an id and a text found the same."""
-    both = scratch(a.withColumn("block", F.lit(0)).unionByName(b.withColumn("block", F.lit(1))))
-    ranked = both.selectExpr("*", "row_number() OVER (PARTITION BY doc_id, block ORDER BY item_ids, containments) AS k")
-    return ranked.groupBy("doc_id", "k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "item_ids"))), lambda x: x["item_ids"])).alias("item_ids"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "containments"))), lambda x: x["containments"])).alias("containments")).drop("k")
-
-
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.coalesce(F.round(F.array_max("containments"), 6), F.lit(0.0)).alias("max_containment"), "kept")

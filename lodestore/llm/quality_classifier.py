@@ -179,16 +179,17 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 1e-4)
     return w
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """(doc_id, votes, posterior, score, kept): one row for each row of ``docs``, repeated rows included.
 
     ``votes`` has a digit for each of LABELLERS: 1 good, 0 bad, 2 none. ``posterior``
     is the label model's, ``score`` the linear scorer's; a document is kept if
-    ``score`` reaches ``threshold``. A text without words, null or empty, has only
+    ``score`` reaches ``threshold``. With ``carry``, the whole row comes along as ``row``. A text without words, null or empty, has only
     bad votes and score 0. A null id stays null. Other columns are not looked at. An
     empty table gives no rows.
     """
-    docs = id_text(docs, id_col, text_col)
+    wide = id_text(docs, id_col, text_col, carry)
+    docs = wide.select("doc_id", "text")
     n_votes = len(LABELLERS)
     schema = pa.schema([("doc_id", pa.int64()), ("pick", pa.int64()), ("pattern", pa.int32())])
     powers = 3 ** np.arange(n_votes)
@@ -224,7 +225,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         s[np.diff(wordkit.split(batch.column(1)).first) == 0] = 0
         return batch_of(out_schema, batch.column(0), ["".join(map(str, r)) for r in v.tolist()], model.posterior(v), s)
 
-    return map_arrow(docs, score, "doc_id long, votes string, posterior double, score double").withColumn("kept", F.col("score") >= threshold)
+    return map_arrow(wide, score, "doc_id long, votes string, posterior double, score double").withColumn("kept", F.col("score") >= threshold)
 
 
 def _whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -134,12 +134,13 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, carry: bool = False) -> DataFrame:
     """(doc_id, spans, redacted): one row for each row of ``docs``, repeated rows included.
 
     ``spans`` is an array of (kind, start, end) in code points, end exclusive.
     A null or empty text has no spans and an empty ``redacted``; a null id stays null.
-    An empty table gives no rows. Other columns are not looked at.
+    An empty table gives no rows. Other columns are not looked at; with ``carry``, the
+    whole row comes along as ``row``.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(span)), ("redacted", pa.string())])
@@ -150,7 +151,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found]
         return batch_of(schema, batch.column(0), rows, [redact(t, s) if s else t for t, s in zip(all_texts, found)])
 
-    return map_arrow(id_text(docs, id_col, text_col), one, "doc_id long, spans array<struct<kind string, start long, end long>>, redacted string")
+    return map_arrow(id_text(docs, id_col, text_col, carry), one, "doc_id long, spans array<struct<kind string, start long, end long>>, redacted string")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
