@@ -94,6 +94,8 @@ class Vocabulary:
             self.data[i] = b""
         for b, i in enumerate(self.byte_ids.tolist()):
             self.data[i] = bytes([b])
+        size = np.array([len(x) for x in self.data])
+        self.flat, self.flat_size, self.flat_at = np.frombuffer(b"".join(self.data), np.uint8), size, np.cumsum(size) - size
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -112,9 +114,15 @@ class Vocabulary:
             at[wrong[same]] = self.late[k[same]]
         return at
 
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of many ids, one after another."""
+        size = self.flat_size[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.flat_at[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text that ``ids`` were made from: one leading space is the encoder's."""
-        raw = b"".join(map(self.data.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        raw = self.spell(ids).tobytes().decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
 
@@ -143,10 +151,15 @@ class Lattice:
         place = np.arange(int(kind_size.sum())) - np.repeat(kind_at, kind_size)
         self.cp = self.chars[np.repeat(self.word_at[first], kind_size) + place]
         self.left = (np.repeat(kind_size, kind_size) - place).astype(np.int32)  # characters to the word's end
-        self.state = np.arange(n, dtype=np.int32) + np.repeat((kind_at[kind] - self.word_at).astype(np.int32), size)  # of each character
-        order = np.argsort(self.left, kind="stable")
-        cuts = np.searchsorted(self.left[order], np.arange(1, (int(self.left[order[-1]]) if len(order) else 0) + 2))
-        self.by_left = [order[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]  # words' ends first
+        # States are numbered from words' ends to their beginnings, so that those of one distance lie together.
+        key = self.left.astype(np.uint16) if len(self.left) and self.left.max() < 1 << 16 else self.left
+        self.order = np.argsort(key, kind="stable")
+        self.rank = np.empty(len(self.order), dtype=np.int32)
+        self.rank[self.order] = np.arange(len(self.order), dtype=np.int32)
+        sorted_left = self.left[self.order]
+        cuts = np.searchsorted(sorted_left, np.arange(1, (int(sorted_left[-1]) if len(sorted_left) else 0) + 2))
+        self.by_left = [(r + 1, int(a), int(b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        self.state = self.rank[np.arange(n, dtype=np.int32) + np.repeat((kind_at[kind] - self.word_at).astype(np.int32), size)]  # of each character
         self._edges()
 
     def _edges(self) -> None:
@@ -165,13 +178,13 @@ class Lattice:
         self.width = max([1, *(k + 1 for k, (_, ids) in enumerate(hits) if (ids >= 0).any())])
         self.ids = np.full((n, self.width), -1, dtype=np.int32)
         for k, (states, ids) in enumerate(hits[: self.width]):
-            self.ids[states, k] = ids
+            self.ids[self.rank[states], k] = ids
         self.w = v.weights32[self.ids]  # id -1 has no weight
         lone = np.flatnonzero(self.ids[:, 0] < 0)  # bytes stand in; the id stays -1
         if len(lone):
             if not len(v.byte_ids):
                 raise ValueError("a character has no piece, and the vocabulary has no bytes")
-            self.w[lone, 0] = utf8_size(self.cp[lone]) * v.weights[v.byte_ids].min()
+            self.w[lone, 0] = utf8_size(self.cp[self.order[lone]]) * v.weights[v.byte_ids].min()
 
     def weigh(self) -> None:
         """The chance of each edge, given its state: from the mass behind the states, words' ends first.
@@ -185,22 +198,21 @@ class Lattice:
         mass = np.ones(n + self.width + 1)
         logs = np.zeros(n + self.width + 1)
         self.p = np.zeros((n, self.width), dtype=np.float32)
-        for s in self.by_left:
-            r = int(self.left[s[0]])
+        for r, a, b in self.by_left:
             k = min(r, self.width)
+            place = self.order[a:b]
             if r <= _LONG:
-                x = scaled[s, :k] * (1.0 if r == 1 else self._behind(mass, s, r, k, 1.0))
+                x = scaled[a:b, :k] * self._behind(mass, place, r, k, 1.0)
                 total = x.sum(axis=1)
-                mass[s] = total
-                logs[s] = np.log(total) - _UNIT * r
-                self.p[s, :k] = x / total[:, None]
+                mass[place] = total
+                logs[place] = np.log(total) - _UNIT * r
             else:
-                x = self.w[s, :k] + self._behind(logs, s, r, k, 0.0)
+                x = self.w[a:b, :k] + self._behind(logs, place, r, k, 0.0)
                 top = x.max(axis=1)
                 x = np.exp(x - top[:, None])
                 total = x.sum(axis=1)
-                logs[s] = top + np.log(total)
-                self.p[s, :k] = x / total[:, None]
+                logs[place] = top + np.log(total)
+            np.divide(x, total[:, None], out=self.p[a:b, :k], casting="unsafe")
         # Most draws fall on a state's likeliest edge; those never look at the others.
         top = self.p.argmax(axis=1)
         flat = np.arange(n) * self.width + top
@@ -208,18 +220,19 @@ class Lattice:
         self.p.ravel()[flat] = 0
         self.rest = self.p.sum(axis=1)
         self.p.ravel()[flat] = self.top_p
+        self.share = self.top_p / (self.top_p + self.rest)  # 1 where there is no other edge
 
     def draw_edges(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge's length at each state, for ``u`` uniform in (0, 1)."""
         out = self.top[state].astype(np.int64)
-        p, rest = self.top_p[state], self.rest[state]
-        late = np.flatnonzero((u > p / (p + rest)) & (rest > 0))
+        late = np.flatnonzero(u > self.share[state])
         if len(late):
             s = state[late]
+            p, rest = self.top_p[s].astype(np.float64), self.rest[s].astype(np.float64)
             rows = self.p[s]
             rows[np.arange(len(s)), out[late] - 1] = 0
             sums = np.cumsum(rows, axis=1, dtype=np.float64)
-            x = (u[late] * (p[late] + rest[late]) - p[late]) / rest[late] * sums[:, -1]
+            x = (u[late] * (p + rest) - p) / rest * sums[:, -1]
             x = np.minimum(x, sums[:, -1] * (1 - 1e-12))
             out[late] = (sums <= np.maximum(x, 0)[:, None]).sum(axis=1) + 1
         return out
@@ -240,9 +253,9 @@ class Lattice:
         return out
 
     @staticmethod
-    def _behind(values: np.ndarray, s: np.ndarray, r: int, k: int, at_end: float) -> np.ndarray:
-        """Values of the states 1 to k characters on; ``at_end`` where the word ends."""
-        x = values[s[:, None] + np.arange(1, k + 1)]
+    def _behind(values: np.ndarray, place: np.ndarray, r: int, k: int, at_end: float) -> np.ndarray:
+        """Values 1 to k characters on, by place; ``at_end`` where the word ends."""
+        x = values[place[:, None] + np.arange(1, k + 1)]
         if k == r:
             x[:, k - 1] = at_end
         return x
@@ -250,12 +263,11 @@ class Lattice:
     def best(self) -> np.ndarray:
         """Lengths of the pieces of the likeliest segmentation, at the characters where they begin."""
         score, length = np.zeros(len(self.cp) + self.width + 1), np.ones(len(self.cp), dtype=np.int64)
-        for s in self.by_left:
-            r = int(self.left[s[0]])
+        for r, a, b in self.by_left:
             k = min(r, self.width)
-            x = self.w[s, :k] + self._behind(score, s, r, k, 0.0)
-            length[s] = x.argmax(axis=1) + 1
-            score[s] = x.max(axis=1)
+            x = self.w[a:b, :k] + self._behind(score, self.order[a:b], r, k, 0.0)
+            length[a:b] = x.argmax(axis=1) + 1
+            score[self.order[a:b]] = x.max(axis=1)
         out = np.zeros(len(self.chars), dtype=np.int32)
         at, end = self.word_at, self.word_end
         while len(at):
@@ -377,6 +389,20 @@ def sample_slice(all_texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary
     return out
 
 
+def spelled(found: list, all_texts: list[str], v: Vocabulary) -> list[bool]:
+    """Whether every sample of a text decodes to it; those of a slice are decoded at once."""
+    every = [ids for x in found for ids, _, _ in x]
+    ids = np.concatenate(every) if every else np.zeros(0, np.int32)
+    data = v.spell(ids).tobytes()
+    at = np.concatenate([[0], np.cumsum(v.flat_size[ids])])[np.concatenate([[0], np.cumsum([len(x) for x in every])]).astype(np.int64)].tolist()
+    out, k = [], 0
+    for x, t in zip(found, all_texts):
+        want = (" " + t).encode() if t else b""
+        out.append(all(data[at[j] : at[j + 1]] == want for j in range(k, k + len(x))))
+        k += len(x)
+    return out
+
+
 def _log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x))): the chance that a score of location log_p passes the threshold."""
     return 0.0 if x > 3.6 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else float(x)
@@ -485,7 +511,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         all_texts, v = texts(batch.column(1)), shared.value
         found = sample_slice(all_texts, row_seeds(batch.column(0).to_pylist(), seed), v, k)
         rows = [[{"ids": ids.astype("<i4").tobytes(), "log_prob": p, "log_inclusion": q} for ids, p, q in x] for x in found]
-        right = [all(v.decode(ids) == t for ids, _, _ in x) for x, t in zip(found, all_texts)]
+        right = spelled(found, all_texts, v)
         return batch_of(schema, batch.column(0), rows, right)
 
     return map_arrow(id_text(docs, id_col, text_col), one, "doc_id long, samples array<struct<ids binary, log_prob double, log_inclusion double>>, decoded boolean")
