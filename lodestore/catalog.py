@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestore.plans import store_queries as store
+
 
 def queries() -> dict:
-    return {}
+    return dict(store.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(store.SQL)
