@@ -33,8 +33,11 @@ PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[
 IPV4 = re.compile(_EDGE_L + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _EDGE_R)
 ISO_DATE = re.compile(_EDGE_L + r"([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})" + _EDGE_R)
 DMY_DATE = re.compile(_EDGE_L + r"([0-9]{2})([-/.])([0-9]{2})\2([0-9]{4})" + _EDGE_R)
-EMAIL = re.compile(r"([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63}))@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+EMAIL = re.compile(r"(\w[\w.%+-]{0,63})@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})")
+_LOCAL = re.compile(r"[\w.%+-]*\Z")
+#: Alphabets whose letters are permuted among themselves in an address; letters of no alphabet stay.
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "".join(c for c in map(chr, range(0xDF, 0x250)) if c.islower() and len(c.upper()) == 1), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, range(0x4E00, 0x9FA6))))
+_PLACE = {c: (k, i) for k, alphabet in enumerate(_ALPHABETS) for i, c in enumerate(alphabet)}
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 _DIGITS = re.compile(r"[0-9]")
@@ -180,18 +183,19 @@ def date(text: str, cipher: Cipher) -> str | None:
 def email(text: str, cipher: Cipher) -> str | None:
     """The local part's letters and digits are permuted among strings of its shape; upper case counts as lower."""
     local, _, domain = text.partition("@")
-    kept = [c for c in local.lower() if c.isalnum()]
-    x = n = 0
-    for c in kept:
-        size, value = (10, int(c)) if c.isdigit() else (26, ord(c) - 97)
-        x, n = x * size + value, (n or 1) * size
-    shape = "".join("0" if c.isdigit() else "a" for c in kept)
-    x, out = cipher.permute(f"email{shape}", x, n), []
-    for c in reversed(kept):
-        x, r = divmod(x, 10 if c.isdigit() else 26)
-        out.append(str(r) if c.isdigit() else chr(97 + r))
+    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in local)
+    kept = [_PLACE[c] for c in lower if c in _PLACE]
+    if not kept:
+        return None
+    x, n = 0, 1
+    for k, i in kept:
+        x, n = x * len(_ALPHABETS[k]) + i, n * len(_ALPHABETS[k])
+    x, out = cipher.permute(f"email{''.join(str(k) for k, _ in kept)}", x, n), []
+    for k, _ in reversed(kept):
+        x, i = divmod(x, len(_ALPHABETS[k]))
+        out.append(_ALPHABETS[k][i])
     it = iter(reversed(out))
-    return "".join(next(it) if c.isalnum() else c for c in local) + "@" + domain
+    return "".join(next(it) if c in _PLACE else c for c in lower) + "@" + domain
 
 
 _NUMBERS = (("iban", IBAN, iban), ("card", CARD, card), ("ssn", SSN, ssn), ("phone", PHONE, phone), ("ipv4", IPV4, ipv4), ("date", ISO_DATE, date), ("date", DMY_DATE, date))
@@ -209,8 +213,10 @@ def find_pii(text: str, cipher: Cipher) -> list[tuple[str, int, int, str]]:
             low += 1
         m = EMAIL.match(text, low) if low < at else None
         if m and m.end(1) == at:
-            found.append(("email", *m.span(), email(m[0], cipher)))
-            done = m.end()
+            new = email(m[0], cipher)
+            if new is not None:
+                found.append(("email", *m.span(), new))
+                done = m.end()
         at = text.find("@", at + 1)
     if _ANY_DIGIT.search(text):
         for kind, pattern, make in _NUMBERS:

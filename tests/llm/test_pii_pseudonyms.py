@@ -34,6 +34,8 @@ def test_permutation_of_every_size(n):
         ("1984-02-29", "date"),
         ("29/02/1984", "date"),
         ("ea.19@mail5.example.com", "email"),
+        ("ouaié_ß.7@mail3.example.com", "email"),
+        ("王小@x.example", "email"),
     ],
 )
 def test_each_kind_keeps_its_format(text, kind):
