@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestore.functions.keys import entry_bytes
 from lodestore.schema import DEFAULT_ITEMS_PER_PAGE
@@ -35,29 +40,42 @@ def resume(items: DataFrame, last_keys: DataFrame, budget: int | None = None, li
     return first_page(later, budget, limit)
 
 
-def page_ends(items: DataFrame, budget: int) -> DataFrame:
-    """(namespace, record_id, ends): the item numbers, from 1, that end a page.
+def page_numbers(items: DataFrame, budget: int) -> DataFrame:
+    """``items`` with ``page``, from 0: which page of its record an item is on when a client follows the tokens.
 
-    Where a page starts depends on where the one before it ended, so this is a fold over the
-    record's sizes in order. The fold keeps cut positions alone: an item adds nothing to its state.
+    Where a page starts depends on where the one before it ended, so a record's items are passed in
+    order. They are sorted once, spilling as needed, and streamed through in Arrow batches; only the
+    record, its page and how full that is are carried from batch to batch, so that memory does not
+    grow with a record. Inside a batch, running sums are searched for the next page's end.
     """
-    sizes = items.groupBy(*RECORD).agg(F.array_sort(F.collect_list(F.struct("item_key", item_bytes().cast("long").alias("n")))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-
-    def step(state, item):
-        filled, at = state["filled"] + item["n"], state["at"] + 1
-        full = filled >= budget
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(filled).alias("filled"), at.alias("at"), F.when(full, F.array_append(state["ends"], at)).otherwise(state["ends"]).alias("ends"))
-
-    return sizes.select(*RECORD, F.aggregate("s", start, step)["ends"].alias("ends"))
-
-
-def page_numbers(items: DataFrame, budget: int) -> DataFrame:
-    """``items`` with ``page``, from 0: which page of its record an item is on when a client follows the tokens."""
-    numbered = items.withColumn("n", F.row_number().over(Window.partitionBy(*RECORD).orderBy("item_key")))
-    ends = page_ends(items, budget)
-    page = F.size(F.filter("ends", lambda e: e < F.col("n")))
-    return numbered.join(ends, RECORD).withColumn("page", page.cast("int")).drop("n", "ends")
+    rows = items.withColumn("_n", item_bytes().cast("long")).repartition(*RECORD).sortWithinPartitions(*RECORD, "item_key")
+    names = items.columns
+    kind = StructType([*items.schema.fields, StructField("page", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, page, filled = None, 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            record = [batch.column(c).to_pylist() for c in RECORD]
+            sizes = batch.column("_n").to_numpy()
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            out = np.empty(n, dtype=np.int32)
+            starts = [0, *(i for i in range(1, n) if record[1][i] != record[1][i - 1] or record[0][i] != record[0][i - 1]), n]
+            for a, b in zip(starts, starts[1:]):
+                if (record[0][a], record[1][a]) != last:
+                    last, page, filled = (record[0][a], record[1][a]), 0, 0
+                while a < b:  # this page ends with the item that fills it
+                    end = int(np.searchsorted(total[a + 1 : b + 1], total[a] + budget - filled)) + a + 1
+                    out[a : min(end, b)] = page
+                    if end > b:
+                        filled += int(total[b] - total[a])
+                        break
+                    page, filled, a = page + 1, 0, end
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out)], [*names, "page"])
+
+    return rows.mapInArrow(run, kind)
 
 
 def exclude_values(page: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def store_append_compact(spark, sf_dir):
             namespace.compact(full=False)
         if k == 3:
             namespace.compact(full=True)
-        namespace.append(changes.where((F.col("ord") > k * step) & (F.col("ord") <= (k + 1) * step)))
+        namespace.append(changes.where((F.col("ord") > k * step) & (F.col("ord") <= (k + 1) * step)), unique_ord=True, tokens=False)
     return _read(namespace)
 
 
@@ -45,7 +45,7 @@ def store_append_compact(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     namespace, root = _fresh(spark)
     changes = ingest.changes_of(workload.mutation_rows(ingest.table_stream(spark, sf_dir, "events")))
-    ingest.ingest(changes, namespace, "events", f"{root}-checkpoint").awaitTermination()
+    ingest.ingest(changes, namespace, "events", f"{root}-checkpoint", unique_ord=True, tokens=False).awaitTermination()
     return _read(namespace)
 
 

@@ -243,12 +243,14 @@ class Namespace:
 
     # Writing
 
-    def append(self, changes: DataFrame, stream: tuple[str, int] | None = None, epoch: int | None = None, retries: int = 5) -> dict:
+    def append(self, changes: DataFrame, stream: tuple[str, int] | None = None, epoch: int | None = None, unique_ord: bool = False, tokens: bool = True, retries: int = 5) -> dict:
         """Append changes of many records as one commit.
 
         ``changes`` has record_id, item_key, op, range_end, value, metadata, token (24 bytes or null), ord (long): the
-        order of arrival. Sequences go on where the snapshot's stopped, by ord inside each partition. Rows whose
-        token was seen are skipped. ``stream`` (name, batch) makes a repeated batch a no-op.
+        order of arrival. Sequences go on where the snapshot's stopped, by ord inside each partition. With
+        ``unique_ord`` no two rows share an ord, and sequences are ord moved up: no sort, however large the batch.
+        Rows whose token was seen are skipped, unless ``tokens`` says that there are none. ``stream`` (name, batch)
+        makes a repeated batch a no-op.
         """
         self._allow(_WRITES)
         config = self.config
@@ -261,7 +263,7 @@ class Namespace:
             if maintenance_status(len([p for p in base["parts"] if p["level"] == 0])) == "reject":
                 self.compact(full=False)
                 base = self.snapshot()
-            part = self._write_part(self._numbered(changes, base, config), 0)
+            part = self._write_part(self._numbered(changes, base, config, unique_ord, tokens), 0)
             streams = base["streams"] | ({stream[0]: stream[1]} if stream else {})
             top = max(base["next_seq"], part["seq_max"] + 1) if part else base["next_seq"]
             try:
@@ -273,14 +275,21 @@ class Namespace:
                     raise
         raise AssertionError
 
-    def _numbered(self, changes: DataFrame, base: dict, config: Config) -> DataFrame:
+    def _numbered(self, changes: DataFrame, base: dict, config: Config, unique_ord: bool, tokens: bool) -> DataFrame:
         rows = changes.withColumn("partition_id", route(F.col("record_id"), config.partitions, config.routing))
-        w = Window.partitionBy("partition_id").orderBy("ord")
-        rows = rows.withColumn("seq", (F.row_number().over(w) + F.lit(base["next_seq"] - 1)).cast("long"))
-        rows = rows.select(F.lit(self.name).alias("namespace"), F.col("partition_id"), "record_id", "item_key", "op", "range_end", "value", F.coalesce("metadata", F.lit(b"")).alias("metadata"), "token", "seq", F.lit(int(time.time() * 1000)).cast("long").alias("created_at_ms"))
+        if unique_ord:
+            first = changes.agg(F.min("ord")).first()[0] or 0
+            seq = F.col("ord") + F.lit(base["next_seq"] - first)
+        else:
+            seq = F.row_number().over(Window.partitionBy("partition_id").orderBy("ord")) + F.lit(base["next_seq"] - 1)
+        rows = rows.withColumn("seq", seq.cast("long"))
+        now = int(time.time() * 1000)
+        rows = rows.select(F.lit(self.name).alias("namespace"), F.col("partition_id"), "record_id", "item_key", "op", "range_end", "value", F.coalesce("metadata", F.lit(b"")).alias("metadata"), "token", "seq", F.lit(now).cast("long").alias("created_at_ms"))
+        if not tokens:
+            return rows
         seen = self.log()
         if config.token_retention_ms is not None:
-            seen = seen.where(F.col("created_at_ms") >= int(time.time() * 1000) - config.token_retention_ms)
+            seen = seen.where(F.col("created_at_ms") >= now - config.token_retention_ms)
         return dedup.new_rows(rows, seen.where(F.col("token").isNotNull()))
 
     def put(self, record_id: str, items: Sequence[tuple], token: bytes | None = None, generation_time: int = 0) -> tuple[int, int, int]:
@@ -295,21 +304,21 @@ class Namespace:
         rows = [(k, s.check_item_key(i[0]), bytes(i[1]), bytes(i[2]) if len(i) > 2 else b"") for k, i in enumerate(items)]
         df = self.spark.createDataFrame(rows, "ord long, item_key binary, value binary, metadata binary")
         own = F.lit(None).cast("binary") if token is None else derived_token(F.lit(random_token(generation_time, token)), F.col("ord"))
-        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", "metadata", own.alias("token"), "ord"))
+        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", "metadata", own.alias("token"), "ord"), unique_ord=True, tokens=token is not None)
         return self.store.clock.next()
 
     def put_many(self, rows: DataFrame) -> tuple[int, int, int]:
         """Bulk put: record_id, item_key, value, and optionally metadata, token, ord (else any order)."""
         have = set(rows.columns)
         option = lambda c, v: F.col(c) if c in have else v
-        self.append(rows.select("record_id", "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", option("metadata", F.lit(b"")).alias("metadata"), option("token", F.lit(None).cast("binary")).alias("token"), option("ord", F.lit(0)).cast("long").alias("ord")))
+        self.append(rows.select("record_id", "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", option("metadata", F.lit(b"")).alias("metadata"), option("token", F.lit(None).cast("binary")).alias("token"), option("ord", F.lit(0)).cast("long").alias("ord")), tokens="token" in have)
         return self.store.clock.next()
 
     def _deletes(self, record_id: str, rows: list[tuple[str, bytes, bytes | None]]) -> tuple[int, int, int]:
         s.check_record_id(record_id)
         df = self.spark.createDataFrame([(k, op, a, b) for k, (op, a, b) in enumerate(rows)], "ord long, op string, item_key binary, range_end binary")
         none = F.lit(None).cast("binary")
-        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", "op", "range_end", F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), "ord"))
+        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", "op", "range_end", F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), "ord"), unique_ord=True, tokens=False)
         return self.store.clock.next()
 
     def delete_keys(self, record_id: str, keys: Sequence[bytes]) -> tuple[int, int, int]:

@@ -22,12 +22,12 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger
     return reader.parquet(f"{sf_dir}/{table}.parquet*")
 
 
-def ingest(changes: DataFrame, into: Namespace, name: str, checkpoint: str):
+def ingest(changes: DataFrame, into: Namespace, name: str, checkpoint: str, unique_ord: bool = False, tokens: bool = True):
     """Append a stream of changes (see Namespace.append) until what is there is read; returns the query.
 
     A batch that is run again after a failure is recognised by its number, so each is committed once.
     """
-    return changes.writeStream.foreachBatch(lambda df, batch: into.append(df, stream=(name, batch)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(lambda df, batch: into.append(df, stream=(name, batch), unique_ord=unique_ord, tokens=tokens) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def first_by_token(changes: DataFrame, time_col: str, keys: list[str], retention: str) -> DataFrame:
