@@ -92,3 +92,14 @@ def prunable(snapshots: DataFrame, kept: int) -> DataFrame:
     """Snapshots older than the ``kept`` newest."""
     newest = snapshots.orderBy(F.desc("id")).limit(kept)
     return snapshots.join(newest, "id", "left_anti")
+
+
+def oldest_file(files: DataFrame) -> DataFrame:
+    """The oldest file of each level."""
+    return files.groupBy("level").agg(F.min(F.struct("created_at_ms", "id")).alias("m")).select("level", "m.id", "m.created_at_ms")
+
+
+def latency_quantiles(samples: DataFrame, by: str, value: str, accuracy: int = 100_000) -> DataFrame:
+    """p50, p95, p99, the largest and the number of samples of each kind. Sketches merge, so nothing is sorted as a whole."""
+    p = F.percentile_approx(value, [0.5, 0.95, 0.99], accuracy)
+    return samples.groupBy(by).agg(p.alias("p"), F.max(value).alias("max"), F.count("*").alias("n")).select(by, F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.functions import keys, routing
-from lodestore.operators import dedup, kernel, maintenance, paging, predicates
+from lodestore.operators import dedup, kernel, maintenance, paging, predicates, values
 from lodestore.sources import workload
 
 BUDGET = 120
@@ -438,3 +438,49 @@ def prefix_rollup(spark, sf_dir):
     """An extension: items by key prefix, over all records. Counted by record first, so that no distinct set is kept."""
     by = visible(spark, sf_dir).groupBy(F.split_part(F.decode("item_key", "UTF-8"), F.lit(":"), F.lit(1)).alias("prefix"), "record_id").agg(F.count("*").alias("n"))
     return by.groupBy("prefix").agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+
+
+# --- smaller functions -------------------------------------------------------------------------
+
+_SIZES = "f AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) * 2097152 AS size_bytes, CAST(p_partkey % 400 AS INTEGER) AS age, CAST(p_partkey % 5 AS INTEGER) AS frozen FROM part)"
+
+
+@query(f"WITH {_SIZES} SELECT id, (size_bytes >= 67108864 OR age >= 300) AND frozen < 3 AS freeze, CAST(greatest(1, ceil(size_bytes / 67108864)) AS INTEGER) AS fragments, frozen >= 3 AS drops_tombstones FROM f")
+def flush_decisions(spark, sf_dir):
+    """When a memory table closes, how many files a compaction writes, and whether it may drop deletes."""
+    f = workload.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size").cast("long") * 2097152).alias("size_bytes"), (F.col("p_partkey") % 400).cast("int").alias("age"), (F.col("p_partkey") % 5).cast("int").alias("frozen"))
+    return f.select("id", maintenance.freeze_due(F.col("size_bytes"), F.col("age"), F.col("frozen")).alias("freeze"), maintenance.fragments(F.col("size_bytes")).alias("fragments"), maintenance.drops_tombstones(F.col("frozen")).alias("drops_tombstones"))
+
+
+@query(f"WITH {_META}, o AS (SELECT level, min(created_at_ms) AS created_at_ms FROM m GROUP BY level) SELECT CAST(o.level AS INTEGER) AS level, min(m.id) AS id, o.created_at_ms FROM o JOIN m ON m.level = o.level AND m.created_at_ms = o.created_at_ms GROUP BY o.level, o.created_at_ms")
+def oldest_file(spark, sf_dir):
+    return maintenance.oldest_file(_meta(spark, sf_dir))
+
+
+@query(f"WITH {_META} SELECT id, CAST(level AS INTEGER) AS level, entry_count FROM m WHERE level <> 0 UNION ALL SELECT 'merged', 1, CAST(sum(entry_count) AS BIGINT) FROM m WHERE level = 0 HAVING count(*) > 0")
+def manifest_apply(spark, sf_dir):
+    """Level 0 goes, one merged file comes."""
+    files = _meta(spark, sf_dir).select("id", "level", "entry_count")
+    gone = files.where("level = 0")
+    added = gone.agg(F.sum("entry_count").alias("entry_count")).where("entry_count IS NOT NULL").select(F.lit("merged").alias("id"), F.lit(1).alias("level"), "entry_count")
+    return maintenance.apply_manifest(files, gone, added)
+
+
+@query(f"WITH {_META} SELECT id FROM m QUALIFY row_number() OVER (ORDER BY id DESC) > 10")
+def prunable_snapshots(spark, sf_dir):
+    return maintenance.prunable(_meta(spark, sf_dir).select("id"), 10)
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max, count(*) AS n FROM events GROUP BY event_type")
+def latency_quantiles(spark, sf_dir):
+    return maintenance.latency_quantiles(workload.read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(f"WITH {VISIBLE} SELECT record_id, item_key, CAST(regexp_extract(value, '\"k\": *([0-9]+)', 1) AS INTEGER) AS k FROM v")
+def typed_values(spark, sf_dir):
+    return values.typed_values(visible(spark, sf_dir), "k int").select("record_id", text("item_key"), F.col("parsed.k").alias("k"))
+
+
+@query(f"WITH {LOG} SELECT record_id, CAST(sum(CAST(regexp_extract(value, '\"k\": *([0-9]+)', 1) AS INTEGER)) AS BIGINT) AS total FROM log WHERE op = 'PUT' GROUP BY record_id")
+def counters(spark, sf_dir):
+    return values.increments(workload.mutation_log(spark, sf_dir), "k").select("record_id", "total")
