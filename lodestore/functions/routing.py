@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -71,3 +72,26 @@ def partition_histogram(items: DataFrame, partitions: int, strategy: dict | None
     by_record = items.groupBy("record_id").agg(F.count("*").alias("n"))
     routed = by_record.withColumn("partition_id", route(F.col("record_id"), partitions, strategy))
     return routed.groupBy("partition_id").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_items"))
+
+
+def route_one(record_id: str, partitions: int, strategy: dict | None = None) -> int:
+    """``route`` for one id, without a job."""
+    strategy = strategy or {"kind": "simple"}
+    kind, raw = strategy["kind"], record_id.encode()
+    if partitions < 1 or partitions & (partitions - 1):
+        raise InvalidArgument("the number of partitions is a power of two")
+    if kind == "fnv":
+        h = FNV_OFFSET
+        for b in (*raw, FNV_END):
+            h = (h ^ b) * FNV_PRIME & 0xFFFFFFFF
+        return h & (partitions - 1)
+    if kind == "composite":
+        parts = record_id.split(strategy["delimiter"])
+        if len(parts) <= max(strategy["fields"]):
+            raise InvalidArgument(f"record id has too few fields: {record_id}")
+        raw = strategy["delimiter"].join(parts[k] for k in strategy["fields"]).encode()
+    elif kind == "prefix":
+        raw = raw[: strategy["length"]]
+    elif kind not in ("simple", "crc32"):
+        raise InvalidArgument(f"no routing strategy {kind}")
+    return zlib.crc32(raw) & (partitions - 1)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestore import schema as s
 from lodestore.functions.keys import PageToken, VersionClock, derived_token, entry_bytes, random_token
-from lodestore.functions.routing import route
+from lodestore.functions.routing import route, route_one
 from lodestore.operators import dedup, kernel, maintenance, paging, predicates
 from lodestore.sources.files import Files
 
@@ -338,8 +338,8 @@ class Namespace:
         self._allow(_READS)
         s.check_record_id(record_id)
         config = self.config
-        # The partition is computed here, so that the scan prunes folders by a literal.
-        partition = self.spark.range(1).select(route(F.lit(record_id), config.partitions, config.routing)).first()[0]
+        # A literal, so that the scan prunes folders.
+        partition = route_one(record_id, config.partitions, config.routing)
         return self.log(snapshot, partition=partition).where(F.col("record_id") == record_id)
 
     def get_keys(self, record_id: str, keys: Sequence[bytes], exclude_values: bool = False, snapshot: int | None = None) -> list:
@@ -390,6 +390,36 @@ class Namespace:
         if found:
             yield found
 
+    # Many records at once
+
+    def get_many(self, wanted: DataFrame, snapshot: int | None = None) -> DataFrame:
+        """Multi-get: ``wanted`` has record_id and keys (an array). Items with ``pos``, their place in the request.
+
+        The log is cut down to the records asked for before anything is aggregated; a small request is
+        broadcast by its size and leaves the log's rows where they are.
+        """
+        self._allow(_READS)
+        asked = wanted.select("record_id").distinct()
+        own = self.log(snapshot).join(asked, "record_id", "left_semi")
+        return predicates.match_keys(kernel.visible_items(own), wanted)
+
+    def scan_many(self, start=None, end=None, start_inclusive: bool = False, end_inclusive: bool = False, records: DataFrame | None = None, snapshot: int | None = None) -> DataFrame:
+        """The range of every record, or of ``records`` (record_id). Puts and deletes outside of the range are not read on."""
+        self._allow(_READS)
+        log = self.log(snapshot)
+        if records is not None:
+            log = log.join(records.select("record_id").distinct(), "record_id", "left_semi")
+        inside = predicates.range_condition(F.col("item_key"), start, end, start_inclusive, end_inclusive)
+        return kernel.visible_items(log.where((F.col("op") == s.RANGE_DELETE) | inside))
+
+    def delete_many(self, rows: DataFrame) -> tuple[int, int, int]:
+        """Bulk delete: record_id, item_key (null: the whole record)."""
+        none = F.lit(None).cast("binary")
+        op = F.when(F.col("item_key").isNull(), s.RANGE_DELETE).otherwise(s.DELETE)
+        key = F.coalesce("item_key", F.lit(b""))
+        self.append(rows.select("record_id", key.alias("item_key"), op.alias("op"), none.alias("range_end"), F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), F.lit(0).cast("long").alias("ord")), tokens=False)
+        return self.store.clock.next()
+
     # Maintenance
 
     def compact(self, full: bool = True, retries: int = 5) -> dict:

@@ -162,6 +162,22 @@ def test_bulk_and_streams(spark, ns, sf_dir, tmp_path):
     assert ns.snapshot()["id"] == one["id"]  # the batch was there already
 
 
+def test_many_records(spark, ns):
+    n = 30
+    rows = workload.products(spark, n)
+    ns.put_many(rows)
+    some = spark.createDataFrame([(f"product:{i:06d}", [b"price", b"info", b"none"]) for i in (3, 5, 99)], "record_id string, keys array<binary>")
+    got = ns.get_many(some).orderBy("record_id", "pos").collect()
+    assert [(r.record_id[-2:], bytes(r.item_key), r.pos) for r in got] == [("03", b"price", 0), ("03", b"info", 1), ("05", b"price", 0), ("05", b"info", 1)]
+    variants = ns.scan_many(b"variant:", b"variant:\xff", True)
+    assert variants.count() == rows.where("decode(item_key, 'UTF-8') LIKE 'variant:%'").select("record_id", "item_key").distinct().count()
+    ns.delete_many(spark.createDataFrame([("product:000003", None), ("product:000005", b"price")], "record_id string, item_key binary"))
+    got = ns.get_many(some).orderBy("record_id", "pos").collect()
+    assert [(r.record_id[-2:], bytes(r.item_key)) for r in got] == [("05", b"info")]
+    assert ns.scan_many(b"price", b"price", True, True, some).count() == 0
+    assert ns.items().select("record_id").distinct().count() == n - 1
+
+
 def test_clock_and_tokens():
     clock = VersionClock(3, now_ms=lambda: 7)
     seen = [clock.next() for _ in range(70000)]
