@@ -159,13 +159,14 @@ def _has_text(node: Node) -> bool:
 
 def main_node(nodes: list[Node]) -> list[Node]:
     """Articles outside of furniture, the outermost ones; else the main elements; else the whole page."""
-    # Names like has-sidebar also stand on what holds everything: if all articles are inside furniture, elements alone decide.
-    for wanted, by_name in (("article", True), ("article", False), ("main", True), ("main", False)):
+    # Names like has-sidebar also stand on what holds everything, and an unclosed menu holds the rest of its page: if
+    # all articles are inside furniture, first elements alone decide, and then nothing does.
+    for wanted, by_name, by_tag in (("article", True, True), ("article", False, True), ("main", True, True), ("main", False, True), ("article", False, False)):
         found = []
         for node in nodes:
             if node.tag == wanted and not node.dropped:
                 up = node.parent
-                while up is not None and not (up.dropped and (by_name or up.tag in DROPPED) or up.tag == wanted):
+                while up is not None and not (up.dropped and (by_name or by_tag and up.tag in DROPPED) or up.tag == wanted):
                     up = up.parent
                 if up is None and _has_text(node):
                     found.append(node)

@@ -45,6 +45,8 @@ def test_broken_pages():
     assert main_text("<p title='a>b'>x</p>") == "x"
     assert main_text("<b>" * 50000 + "deep") == "deep"
     assert main_text("<article></article><p>rest") == "rest"
+    assert main_text("<nav><ul><li>menu<article><p>text</article>") == "text"
+    assert main_text("<nav><article class=teaser>more</article></nav><p>text") == "text"
 
 
 def test_templates_of_a_site_go_and_shared_article_text_stays(spark):
