@@ -146,7 +146,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     rest = [c for c in members.columns if c != "hub"]
     left = dealt.where("component <> major").selectExpr("hub", *spread("mb", "nb"), "true AS outside", "major", *rest).withColumnsRenamed({"own": "lb", "other": "rb"})
     right = dealt.selectExpr("hub", *spread("nb", "mb"), "false AS outside", "major", *rest).withColumnsRenamed({"own": "rb", "other": "lb"})
-    return left.unionByName(right)
+    # Dealt anew: rows that are dealt by hub would keep all blocks of a hub in one task.
+    return left.unionByName(right).repartition("hub", "lb", "rb")
 
 
 def _outer_pairs(t: pa.Table):

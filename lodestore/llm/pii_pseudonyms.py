@@ -141,9 +141,7 @@ def phone(text: str, cipher: Cipher) -> str | None:
         if len(d) not in (10, 11) or head not in ("", "1"):
             return None
         x = int(rest)
-        # Area or exchange codes that no plan gives out are permuted among themselves.
-        kind, ok = ("phone", _phone_ok) if _phone_ok(x) else ("phone-odd", lambda v: not _phone_ok(v))
-        return _fill(text, head + f"{cipher.permute(kind, x, 10**10, ok):010d}")
+        return _fill(text, head + f"{cipher.permute('phone', x, 10**10, _phone_ok):010d}") if _phone_ok(x) else None
     if not 9 <= len(d) <= 15:
         return None
     head, rest = d[:2], d[2:]

@@ -54,7 +54,7 @@ def test_checks():
     luhn = lambda s: p.luhn_digit(s[:-1]) == s[-1]
     assert luhn("4111111111111111") and luhn(p.card("4111111111111111", CIPHER)) and p.card("4111111111111112", CIPHER) is None
     assert one("1984-02-30") == one("1850-01-01") == one("256.1.1.1") == one("000-12-3456") == []
-    assert one("12345678901234567890123") == one("GB83 WEST 1234 5698 7654 32") == one("a@b") == one("@x.com") == one("v1.2.3.4.5") == one("1234567890123456") == []
+    assert one("12345678901234567890123") == one("GB83 WEST 1234 5698 7654 32") == one("a@b") == one("@x.com") == one("v1.2.3.4.5") == one("1234567890123456") == one("(123) 555-1234") == []
     days = {p.date((datetime.date(1990, 1, 1) + datetime.timedelta(k)).isoformat(), CIPHER) for k in range(500)}
     assert len(days) == 500
 
