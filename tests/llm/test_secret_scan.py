@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestore.llm.secret_scan import find_secrets, joined, op1_secret_scan, redact, scan_secrets
+from lodestore.llm.secret_scan import _inside, _meets, base_spans, find_secrets, joined, op1_secret_scan, redact, scan_secrets
 
 PATTERNS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -66,3 +68,18 @@ def test_odd_rows(spark):
 
 def test_redaction_of_overlaps():
     assert redact("ab secret cd", [("assign", 3, 9), ("hex", 5, 7)]) == "ab [assign] cd"
+
+
+SPANS = st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)).map(lambda x: (x[0], x[0] + x[1])), max_size=8)
+
+
+@given(SPANS, SPANS, st.integers(0, 12))
+def test_interval_join_equals_all_pairs(spans, others, reach):
+    assert _meets(spans, others, reach) == [any(a - reach <= d and c <= b + reach for c, d in others) for a, b in spans]
+    assert _inside(spans, others) == [s for s in spans if not any(s[0] < d and c <= s[1] for c, d in others)]
+
+
+@given(st.text(alphabet="tokenTOKEN=: '\"abcdef0123AKI\nszé-", max_size=80))
+def test_base_equals_plain_patterns(text):
+    assert base_spans(text) == brute(text)
+    assert [s for s in find_secrets(text) if s[0] in ("assign", "access", "hex")] == brute(text)
