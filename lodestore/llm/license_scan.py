@@ -211,5 +211,45 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def _sql(index: Index) -> str:
+    """The same in SQL: every step of the method, over all documents."""
+    rows = lambda x: ", ".join(f"({', '.join(repr(v) for v in r)})" for r in x)
+    templates = rows((label, at, w) for label, (words, _) in index.templates.items() for at, w in enumerate(words))
+    lengths = rows((label, len(words), len(keys), min(LOOKED_UP, len(set(words)))) for label, (words, keys) in index.templates.items())
+    keys = rows((label, k, j, len(words), w) for label, (_, many) in index.templates.items() for k, words in enumerate(many) for j, w in enumerate(words))
+    phrases = rows((label, k, j, len(words), w) for k, (words, label) in enumerate(index.phrases) for j, w in enumerate(words))
+    return rf"""
+WITH tw(label, pos, word) AS (VALUES {templates}),
+tl(label, len, n_keys, c) AS (VALUES {lengths}),
+kw(label, k, j, n, word) AS (VALUES {keys}),
+pw(label, k, j, n, word) AS (VALUES {phrases}),
+vocabulary AS (SELECT word FROM tw UNION SELECT word FROM kw UNION SELECT word FROM pw),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+v AS (SELECT * FROM x SEMI JOIN vocabulary USING (word)),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM vocabulary LEFT JOIN v USING (word) GROUP BY word),
+rare AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM v) JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, word) <= {LOOKED_UP}),
+cand AS (
+  SELECT doc_id, label, any_value(c) AS c, greatest(3, ceil({AGREEING} * any_value(c))) AS need
+  FROM rare JOIN (SELECT DISTINCT label, word FROM tw) USING (word) JOIN tl USING (label) GROUP BY doc_id, label HAVING count(*) >= greatest(3, ceil({AGREEING} * any_value(c)))),
+agreed AS (SELECT DISTINCT doc_id, label, v.i - tw.pos AS off, word FROM v JOIN rare USING (doc_id, word) JOIN tw USING (word) JOIN cand USING (doc_id, label)),
+win AS (
+  SELECT a.doc_id, a.label, a.off, count(DISTINCT b.word) AS agreeing, min(b.off) AS low
+  FROM (SELECT DISTINCT doc_id, label, off FROM agreed) AS a JOIN agreed AS b ON a.doc_id = b.doc_id AND a.label = b.label AND b.off BETWEEN a.off - {SLACK} AND a.off GROUP BY ALL),
+best AS (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY agreeing DESC, off) = 1),
+key_at AS (SELECT doc_id, label, k, v.i - j AS start, any_value(n) AS n FROM v JOIN kw USING (word) GROUP BY doc_id, label, k, v.i - j HAVING count(*) = any_value(n)),
+found AS (
+  SELECT doc_id, label, least(1.0, agreeing / any_value(c)) AS score
+  FROM best JOIN cand USING (doc_id, label) JOIN tl USING (label, c) JOIN key_at USING (doc_id, label)
+  WHERE agreeing >= need AND start >= greatest(0, low - {SLACK}) AND start + n <= greatest(0, low + len + {2 * SLACK})
+  GROUP BY doc_id, label, agreeing HAVING count(DISTINCT k) = any_value(n_keys)),
+phrase_at AS (SELECT doc_id, any_value(label) AS label, v.i - j AS start FROM v JOIN pw USING (word) GROUP BY doc_id, k, v.i - j HAVING count(*) = any_value(n)),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM phrase_at GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0 AS score FROM phrase_at UNION ALL SELECT doc_id, label, score FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
 QUERIES = {"op9_license_scan": op9_license_scan}
-SQL: dict[str, str] = {}
+SQL = {"op9_license_scan": _sql(Index())}

@@ -48,6 +48,26 @@ def test_edited_reordered_and_partial(spark):
     assert (b.labels, c.labels, d.labels) == ("", "", "") and d.score == 0
 
 
+def test_sql_follows_the_method(spark):
+    """Whole notices, edited ones and phrases: the SQL agrees with the operator on each."""
+    import duckdb
+
+    from lodestore.llm.license_scan import SQL
+
+    bodies = [body for body, _ in TEMPLATES.values()]
+    texts = [*bodies, *("x " * 7 + b.replace(" the ", " ") for b in bodies), *(" ".join(b.split()[k::2]) for b in bodies for k in (0, 1)), *(" ".join(b.split()[9:]) for b in bodies), " ".join(bodies), "mit license apache license cc by", "", None]
+    texts += [a + " and " + b for a in bodies for b in bodies] + [f"thing{i} of the and to" for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({SQL['op9_license_scan']})").fetchall())
+    got = sorted(tuple(r[c] for c in cols) for r in scan_licenses(docs).collect())
+    for a, b in zip(got, want):
+        assert a[:7] == b[:7] and abs(a[7] - b[7]) < 1e-9, (a, b)
+    assert sum(bool(r[6]) for r in got) > 60
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "MIT License"), (3, "the cc-by, CC BY"), (3, "the cc-by, CC BY"), (4, "mit é " * 100000 + "mit license"), (5, "mitlicense licensé mit-license")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit(1)).withColumn("labels", F.lit("q"))
