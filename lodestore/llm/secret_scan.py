@@ -34,8 +34,11 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Code points that a part's interval is widened by.
 REACH = 200
-IDENTIFIER = re.compile(r"""(?:client_?id|access_?key_?id|key_?id|account(?:_?id)?|user(?:_?name)?|login|app_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A)
-ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,15}://[^\s"'<>]+)|(?:(?:host|endpoint|server|base_?url|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{4,})""", re.I | re.A)
+# Names that identifiers and endpoints are given under.
+ID_NAMES = "client_?id|access_?key_?id|key_?id|account(?:_?id)?|user(?:_?name)?|login|app_?id"
+END_NAMES = "host|endpoint|server|base_?url|bucket"
+IDENTIFIER = re.compile(rf"""(?:{ID_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{{3,}}""", re.I | re.A)
+ENDPOINT = re.compile(rf"""(?:[a-z][a-z0-9+]{{1,15}}://[^\s"'<>]+)|(?:(?:{END_NAMES})["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{{4,}})""", re.I | re.A)
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])")
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 _IDENTIFIER_WORDS = ("client", "key", "account", "user", "login", "app_id", "appid")
@@ -170,5 +173,62 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_arrow(found, digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
+def _sql() -> str:
+    """The same in SQL. A pattern's spans are found from its matches and from what stands between them."""
+    either = lambda names: re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", names)  # noqa: E731  letters of ASCII alone, in either case
+    assign_names = either("password|passwd|secret|token|api_?key")
+    patterns = {
+        "assign": rf"""(?:{assign_names})["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9+/_.=-]+""",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]{24,}",
+        "identifier": rf"""(?:{either(ID_NAMES)})["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9@._+-]{{3,}}""",
+        "secret": "[A-Za-z0-9+/_-]{16,}",
+        "endpoint": rf"""(?:[A-Za-z][A-Za-z0-9+]{{1,15}}://[^\t\n\x0B\f\r "\'<>]+)|(?:(?:{either(END_NAMES)})["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9._:/-]{{4,}})""",
+        "scope": r"\n[\x20\t\r]*\n",
+    }
+    quoted = lambda p: p.replace("\\'", "''")
+    raw = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, m[k] AS m, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a "
+        f"FROM (SELECT doc_id, regexp_extract_all(t, '{quoted(p)}') AS m, string_split_regex(t, '{quoted(p)}') AS g FROM d), unnest(range(1, len(m) + 1)) AS u(k)"
+        for kind, p in patterns.items()
+    )
+    touching = lambda other: f"NOT EXISTS (SELECT 1 FROM {other} AS o WHERE o.doc_id = s.doc_id AND o.a <= s.b AND o.b > s.a)"
+    meets = lambda other: f"EXISTS (SELECT 1 FROM {other} AS o WHERE o.doc_id = s.doc_id AND o.scope = s.scope AND o.a <= s.b + {REACH} AND o.b >= s.a - {REACH})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS MATERIALIZED (SELECT *, a + length(m) AS b FROM ({raw})),
+base AS (
+  SELECT doc_id, kind, a, b FROM raw
+  WHERE kind = 'assign' AND length(regexp_extract(m, '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 OR kind = 'access' AND length(m) >= 20 OR kind = 'hex'),
+ids0 AS (SELECT * FROM raw AS s WHERE kind = 'identifier' AND {touching('base')}),
+ends0 AS (SELECT * FROM raw WHERE kind = 'endpoint'),
+random AS (
+  SELECT doc_id, m, a, b FROM (SELECT *, unnest(string_split(m, '')) AS c FROM raw WHERE kind = 'secret' AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]'))
+  GROUP BY doc_id, m, a, b HAVING round(entropy(c), 9) >= 3),
+placed AS (
+  SELECT s.*, (SELECT count(*) FROM raw AS r WHERE r.doc_id = s.doc_id AND r.kind = 'scope' AND r.a <= s.a) AS scope
+  FROM (
+    SELECT doc_id, 'identifier' AS kind, a, b FROM ids0
+    UNION ALL SELECT doc_id, 'sure id', a, b FROM base WHERE kind = 'access'
+    UNION ALL SELECT doc_id, 'sure secret', a, b FROM base WHERE kind <> 'access'
+    UNION ALL SELECT doc_id, 'secret', a, b FROM random AS s WHERE {touching('base')} AND {touching('ids0')} AND {touching('ends0')}
+    UNION ALL SELECT doc_id, 'endpoint', a, b FROM ends0 AS s WHERE {touching('base')} AND {touching('ids0')}) AS s),
+anyid AS (SELECT * FROM placed WHERE kind IN ('identifier', 'sure id')),
+linked AS (SELECT * FROM placed AS s WHERE kind IN ('secret', 'sure secret') AND {meets('anyid')}),
+more AS (
+  SELECT doc_id, kind, a, b FROM linked WHERE kind = 'secret'
+  UNION ALL SELECT doc_id, kind, a, b FROM placed AS s WHERE kind IN ('identifier', 'endpoint') AND {meets('linked')}),
+every AS (
+  SELECT *, list_position(['assign', 'access', 'hex', 'identifier', 'secret', 'endpoint'], kind) AS r, kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR) AS s
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
+n AS (
+  SELECT doc_id, count(*) FILTER (r = 1) AS n_assign, count(*) FILTER (r = 2) AS n_access, count(*) FILTER (r = 3) AS n_hex, count(*) FILTER (r > 3) AS n_linked,
+    string_agg(s, ',' ORDER BY a, r, b) FILTER (r <= 3) AS base, string_agg(s, ',' ORDER BY a, r, b) AS spans
+  FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES = {"op1_secret_scan": op1_secret_scan}
-SQL: dict[str, str] = {}
+SQL = {"op1_secret_scan": _sql()}
