@@ -1,9 +1,8 @@
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from lodestore.llm import decontaminate, quality_classifier, secret_scan, sentencepiece_sample
+from lodestore.llm import secret_scan
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_minhash_dedup import brute as groups
 from tests.llm.test_secret_scan import brute as base_secrets
