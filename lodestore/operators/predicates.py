@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from lodestore.schema import InvalidArgument, check_item_key
 
 
-def range_condition(key: Column, start: bytes | None, end: bytes | None, start_inclusive: bool = False, end_inclusive: bool = False) -> Column:
-    """A byte range; an empty or missing bound is open, whatever its flag."""
+def check_bounds(start: bytes | None, end: bytes | None) -> tuple[bytes, bytes]:
+    """Both bounds, empty where open; equal ones are allowed."""
     start, end = check_item_key(start or b""), check_item_key(end or b"")
     if start and end and start > end:
         raise InvalidArgument("the range ends before it starts")
+    return start, end
+
+
+def range_condition(key: Column, start: bytes | None, end: bytes | None, start_inclusive: bool = False, end_inclusive: bool = False) -> Column:
+    """A byte range; an empty or missing bound is open, whatever its flag."""
+    start, end = check_bounds(start, end)
     out = F.lit(True)
     if start:
         out = out & (key >= F.lit(start) if start_inclusive else key > F.lit(start))
@@ -25,8 +31,7 @@ def range_condition(key: Column, start: bytes | None, end: bytes | None, start_i
 
 def delete_bounds(start: bytes | None, end: bytes | None, start_inclusive: bool, end_inclusive: bool) -> tuple[bytes, bytes | None]:
     """The same range as [start, end): a bound moves to its next key, which is itself and a zero byte."""
-    range_condition(F.lit(b""), start, end, start_inclusive, end_inclusive)
-    start, end = start or b"", end or b""
+    start, end = check_bounds(start, end)
     if start and not start_inclusive:
         start += b"\0"
     if end and end_inclusive:
