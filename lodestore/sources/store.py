@@ -292,10 +292,11 @@ class Namespace:
             seen = seen.where(F.col("created_at_ms") >= now - config.token_retention_ms)
         return dedup.new_rows(rows, seen.where(F.col("token").isNotNull()))
 
-    def put(self, record_id: str, items: Sequence[tuple], token: bytes | None = None, generation_time: int = 0) -> tuple[int, int, int]:
+    def put(self, record_id: str, items: Sequence[tuple], token: bytes | None = None, generation_time: int = 0, strict: bool = False) -> tuple[int, int, int]:
         """Insert or update ``items`` (key, value[, metadata]) of one record; of a repeated key the last wins.
 
-        The same ``token`` again changes nothing and succeeds. Returns the write's version.
+        The same ``token`` again changes nothing and succeeds; if ``strict``, it is refused with AlreadyExists.
+        Returns the write's version.
         """
         s.check_record_id(record_id)
         if not items:
@@ -304,7 +305,10 @@ class Namespace:
         rows = [(k, s.check_item_key(i[0]), bytes(i[1]), bytes(i[2]) if len(i) > 2 else b"") for k, i in enumerate(items)]
         df = self.spark.createDataFrame(rows, "ord long, item_key binary, value binary, metadata binary")
         own = F.lit(None).cast("binary") if token is None else derived_token(F.lit(random_token(generation_time, token)), F.col("ord"))
-        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", "metadata", own.alias("token"), "ord"), unique_ord=True, tokens=token is not None)
+        changes = df.select(F.lit(record_id).alias("record_id"), "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", "metadata", own.alias("token"), "ord")
+        if strict and token is not None:
+            dedup.refuse_repeated(self._numbered(changes, self.snapshot(), self.config, True, False), self.log().where(F.col("token").isNotNull()))
+        self.append(changes, unique_ord=True, tokens=token is not None)
         return self.store.clock.next()
 
     def put_many(self, rows: DataFrame) -> tuple[int, int, int]:

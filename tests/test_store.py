@@ -61,6 +61,10 @@ def test_tokens(ns):
     assert bytes(ns.get_keys("r", [b"k1"])[0].value) == b"third"
     with pytest.raises(InvalidArgument):
         ns.put("r", [(b"k", b"v")], b"abc")
+    with pytest.raises(AlreadyExists):
+        ns.put("r", [(b"k1", b"fourth")], token, strict=True)
+    ns.put("r", [(b"k1", b"fifth")], b"0000000000000000", strict=True)
+    assert bytes(ns.get_keys("r", [b"k1"])[0].value) == b"fifth"
 
 
 def test_paging_to_the_end(ns):
