@@ -11,7 +11,8 @@ signatures of a partition at once; the rare hits are verified by counting exactl
 which of the item's shingles the document has.
 
 Only the benchmark is broadcast, in blocks of at most ``BLOCK_BYTES`` of text; a
-larger one takes more steps over each row. No document is shuffled.
+larger one takes more steps over each row, ``CHAIN`` blocks a job. No document is
+shuffled.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import wordkit
-from lodestore.llm.common import batch_of, id_text, map_arrow, read
+from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch
 
 WIDTH = 5
 PERCENT = 80
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Blocks that one job takes; more are taken in turn.
+CHAIN = 4
 
 
 class Partition:
@@ -141,8 +144,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = id_text(docs, id_col, text_col, carry)
     rest = ["row"] if carry else []
     out = docs.select("doc_id", "text", F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<double>").alias("containments"), *rest)
-    for block, last in _blocks(items):
+    for k, (block, last) in enumerate(_blocks(items)):
         out = find_items(out, block, width, percent, last)
+        if not last and k % CHAIN == CHAIN - 1:
+            out = scratch(out)  # lets the blocks so far go
     return out.withColumn("kept", F.size("item_ids") == 0)
 
 
