@@ -30,8 +30,10 @@ from lodestore.llm.components import connected_components
 COORDS = 64
 #: Six standard deviations below the 51 matches expected at similarity 0.8.
 MATCHES = 32
-#: Members of a posting list that one task compares at a time.
-BLOCK = 256
+#: Members of a posting list that one task compares at a time, with at most four times as many outsiders.
+BLOCK = 1024
+#: What a row is in its block. In a list of one block, a row is both.
+OUTSIDER, MEMBER, BOTH = 1, 2, 3
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 1 << 32, COORDS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -46,14 +48,21 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The smallest value of each coordinate's permutation."""
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    best = np.full(COORDS, 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(0, len(low), 2048):
-        v = (low[k : k + 2048, None] ^ _XOR) * _MUL
+    """For each coordinate's permutation 32 bits of the shingle that comes first.
+
+    The bits are the shingle's own, not the permutation's smallest values: those crowd
+    near zero, and texts of many shingles would agree by chance.
+    """
+    high, own = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32)
+    best, out = np.full(COORDS, 0xFFFFFFFF, dtype=np.uint32), np.zeros(COORDS, dtype=np.uint32)
+    for k in range(0, len(high), 2048):
+        v = (high[None, k : k + 2048] ^ _XOR[:, None]) * _MUL[:, None]
         v ^= v >> np.uint32(15)
-        np.minimum(best, v.min(axis=0), out=best)
-    return best
+        at = v.argmin(axis=1)
+        low = v[np.arange(COORDS), at]
+        better = (low < best) | (k == 0)
+        best[better], out[better] = low[better], own[k + at][better]
+    return out
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
@@ -135,28 +144,31 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 def _blocks(members: DataFrame) -> DataFrame:
     """Rows of ``members`` dealt to (hub, lb, rb): outsiders of a group's largest component meet its every member once.
 
-    Of the members, at most about ``BLOCK`` fall into one task together with at most
-    about ``8 * BLOCK`` outsiders, however large the group is.
+    Of the members, about ``BLOCK`` fall into one task together with about ``4 * BLOCK``
+    outsiders at most, however large the group is.
     """
     sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    groups = groups.selectExpr("hub", "major", f"cast(ceil(n / {BLOCK}) AS int) AS nb", f"cast(ceil((n - top) / {8 * BLOCK}) AS int) AS mb")
-    dealt = members.join(groups, "hub")
+    groups = groups.selectExpr("hub", "major", f"cast(ceil(n / {BLOCK}) AS int) AS nb", f"cast(ceil((n - top) / {4 * BLOCK}) AS int) AS mb")
+    # Written first: joined to an aggregate, a hub with a third of all members could not be split.
+    dealt = members.join(scratch(groups), "hub")
+    rest = ["major", *(c for c in members.columns if c != "hub")]
+    one = dealt.where("nb = 1 AND mb = 1").selectExpr("hub", "0 AS lb", "0 AS rb", f"{BOTH} AS part", *rest)
+    large = dealt.where("nb > 1 OR mb > 1")
     spread = lambda own, other: [f"cast(pmod(xxhash64(rep), {own}) AS int) AS own", f"explode(sequence(0, {other} - 1)) AS other"]
-    rest = [c for c in members.columns if c != "hub"]
-    left = dealt.where("component <> major").selectExpr("hub", *spread("mb", "nb"), "true AS outside", "major", *rest).withColumnsRenamed({"own": "lb", "other": "rb"})
-    right = dealt.selectExpr("hub", *spread("nb", "mb"), "false AS outside", "major", *rest).withColumnsRenamed({"own": "rb", "other": "lb"})
+    left = large.where("component <> major").selectExpr("hub", *spread("mb", "nb"), f"{OUTSIDER} AS part", *rest).withColumnsRenamed({"own": "lb", "other": "rb"})
+    right = large.selectExpr("hub", *spread("nb", "mb"), f"{MEMBER} AS part", *rest).withColumnsRenamed({"own": "rb", "other": "lb"})
     # Dealt anew: rows that are dealt by hub would keep all blocks of a hub in one task.
-    return left.unionByName(right).repartition("hub", "lb", "rb")
+    return one.unionByName(left).unionByName(right).repartition("hub", "lb", "rb")
 
 
 def _outer_pairs(t: pa.Table):
     """For each outsider of a block: its row, and the rows whose signatures agree with it, of other components, best first."""
     sig = _matrix(t.column("sig").combine_chunks())
     rep, part, hub = (t.column(c).to_numpy() for c in ("rep", "component", "hub"))
-    outside, minor = t.column("outside").to_numpy(), part != t.column("major").to_numpy()
-    members = np.flatnonzero(~outside & (rep != hub))
-    for u in np.flatnonzero(outside & (rep != hub)):
+    role, minor = t.column("part").to_numpy(), part != t.column("major").to_numpy()
+    members = np.flatnonzero((role != OUTSIDER) & (rep != hub))
+    for u in np.flatnonzero((role != MEMBER) & minor & (rep != hub)):
         v = members[(part[members] != part[u]) & (~minor[members] | (rep[members] > rep[u]))]
         agree = (sig[v] == sig[u]).sum(axis=1)
         near = agree >= MATCHES

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -69,3 +70,21 @@ def test_odd_rows(spark):
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 2, 6, True), (6, 2, 6, True), (7, 1, 7, True), (8, 1, 8, True), (9, 1, 9, True), (None, 2, None, True)]
     assert got == sorted(want, key=str)
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_lists_of_many_blocks(spark, monkeypatch):
+    """Small blocks: every list is cut into several, and the result stays."""
+    from lodestore.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(4, 22)):
+            words[rng.randrange(150)] = f"x{rng.randrange(60)}"
+        rows.append((k, " ".join(words)))
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    want = brute(rows, 2)
+    assert got == want and 3 < len({r[2] for r in want}) < 110
