@@ -24,11 +24,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     before use, as Spark might number them otherwise when it reads again.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = common.scratch(docs.select(F.monotonically_increasing_id().alias("n"), F.col("doc_id").alias("own"), F.col("text").alias("text"), whole))
+    rows = common.scratch(docs.select(F.monotonically_increasing_id().alias("n"), whole)).select("n", F.col("row.doc_id").alias("own"), F.col("row.text").alias("text"), "row")
     groups = minhash_dedup.near_duplicates(rows, "n").select("doc_id", "component_id")
     groups = groups.join(rows.select("n", "own"), F.col("doc_id") == F.col("n"))
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "n")).alias("best")).select(F.col("best.n").alias("keep"))
-    return rows.join(best, F.col("n") == F.col("keep"), "left_semi").select("row.*")
+    return rows.select("n", "row").join(best, F.col("n") == F.col("keep"), "left_semi").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
