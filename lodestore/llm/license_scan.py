@@ -2,10 +2,11 @@
 
 The index holds, for each licence word, the templates and positions it stands at.
 Which words are rare is counted over all documents: one row a licence word. Of
-each file only the licence words of highest IDF are looked up; their postings
+each file the licence words of highest IDF are looked up; their postings
 give relative positions (place in the file less place in the template), and where
 enough of a template's rare words agree on one relative position, give or take
-``SLACK`` words, the template's mandatory phrases are verified around it.
+``SLACK`` words, the template's mandatory phrases are verified around it. A template
+that these words do not show is looked for by all of its words in the file.
 
 The short phrases are templates too: the rarest word is looked up, and the other
 words must stand at their exact relative positions.
@@ -62,7 +63,7 @@ TEMPLATES = {
         ("creative commons attribution",),
     ),
 }
-#: How many of a file's licence words are looked up, the rarest first.
+#: How many of a file's licence words are looked up first, the rarest ones.
 LOOKED_UP = 24
 #: Share of a template's looked-up words that must agree on one relative position.
 AGREEING = 0.5
@@ -134,43 +135,54 @@ def _stands(seq: list[int], number: np.ndarray, anchor: int) -> np.ndarray:
     return start
 
 
+def _in_place(words: list[int], places: np.ndarray, number: np.ndarray, rare: set[int]) -> tuple[int, int]:
+    """The most of ``rare`` that agree on one relative position of the template ``words``, and the least of their positions."""
+    at_of = defaultdict(list)
+    for pos, w in enumerate(words):
+        if w in rare:
+            at_of[w].append(pos)
+    agreed = sorted((at - pos, pos) for w, many in at_of.items() for at in places[number[places] == w].tolist() for pos in many)
+    inside, low, best = Counter(), 0, (0, 0)
+    for off, pos in agreed:  # window over the relative positions
+        inside[words[pos]] += 1
+        while agreed[low][0] < off - SLACK:
+            w = words[agreed[low][1]]
+            inside[w] -= 1
+            if not inside[w]:
+                del inside[w]
+            low += 1
+        if len(inside) > best[0]:
+            best = (len(inside), agreed[low][0])
+    return best
+
+
 def find_templates(number: np.ndarray, index: Index, idf: np.ndarray) -> dict[str, float]:
-    """Label -> share of the template's looked-up words in place, for the templates that ``number`` holds."""
+    """Label -> share of the template's looked-up words in place, for the templates that ``number`` holds.
+
+    The file's rarest words are looked up first. Other notices and stray words may take all of
+    those places, so of a template not found by them all words are looked up.
+    """
     places = np.flatnonzero(number >= 0)
     present = np.unique(number[places])
-    rare = set(sorted(present.tolist(), key=lambda w: (-idf[w], w))[:LOOKED_UP])
-    offsets = defaultdict(list)
-    for at in places.tolist():
-        w = int(number[at])
-        if w in rare:
-            for label, pos in index.postings[w]:
-                offsets[label].append((at - pos, pos))
+    rarest = set(sorted(present.tolist(), key=lambda w: (-idf[w], w))[:LOOKED_UP])
+    present = set(present.tolist())
     found = {}
-    for label, agreed in offsets.items():
-        words, keys = index.seq[label]
-        wanted = {pos for pos, w in enumerate(words) if w in rare}
-        all_rare = sorted(set(words), key=lambda w: (-idf[w], w))[:LOOKED_UP]
-        need = max(3, math.ceil(AGREEING * len(all_rare)))
-        if len({words[p] for p in wanted}) < need:
+    for label, (words, keys) in index.seq.items():
+        c = min(LOOKED_UP, len(set(words)))
+        need = max(3, math.ceil(AGREEING * c))
+        if len(present.intersection(words)) < need:
             continue
-        agreed.sort()
-        inside, low, best = Counter(), 0, (0, 0)
-        for off, pos in agreed:  # window over the relative positions
-            inside[words[pos]] += 1
-            while agreed[low][0] < off - SLACK:
-                w = words[agreed[low][1]]
-                inside[w] -= 1
-                if not inside[w]:
-                    del inside[w]
-                low += 1
-            if len(inside) > best[0]:
-                best = (len(inside), agreed[low][0])
-        if best[0] < need:
+        anchored = [(k, max(range(len(k)), key=lambda j: (idf[k[j]], -j))) for k in keys]
+        if not all(len(_stands(k, number, anchor)) for k, anchor in anchored):
             continue
-        a, b = max(0, best[1] - SLACK), best[1] + len(words) + 2 * SLACK
-        part = number[a:b]
-        if all(len(_stands(k, part, max(range(len(k)), key=lambda j: (idf[k[j]], -j)))) for k in keys):
-            found[label] = min(1.0, best[0] / len(all_rare))
+        for rare in (rarest, present):
+            if len(rare.intersection(words)) < need:
+                continue
+            agreeing, low = _in_place(words, places, number, rare)
+            part = number[max(0, low - SLACK) : max(0, low + len(words) + 2 * SLACK)]
+            if agreeing >= need and all(len(_stands(k, part, anchor)) for k, anchor in anchored):
+                found[label] = min(1.0, agreeing / c)
+                break
     return found
 
 

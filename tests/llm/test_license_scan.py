@@ -48,6 +48,19 @@ def test_edited_reordered_and_partial(spark):
     assert (b.labels, c.labels, d.labels) == ("", "", "") and d.score == 0
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    """Notices do not take each other's places, and neither do stray licence words of a long file."""
+    bodies = {label: body for label, (body, _) in TEMPLATES.items()}
+    pairs = [(a, b) for a in bodies for b in bodies if a < b]
+    stray = " ".join(sorted(set(" ".join(b for x, b in bodies.items() if x != "mpl").split())))
+    texts = [" ".join(bodies.values()), f"{stray} {'word ' * 300} {bodies['mpl']}", *(f"{bodies[a]} and {bodies[b]}" for a, b in pairs)]
+    every, mpl, *two = scan(spark, texts)
+    assert set(every.labels.split(",")) == set(bodies)
+    assert "mpl" in mpl.labels.split(",")
+    for pair, r in zip(pairs, two):
+        assert set(pair) <= set(r.labels.split(",")), (pair, r)
+
+
 def test_sql_follows_the_method(spark):
     """Whole notices, edited ones and phrases: the SQL agrees with the operator on each."""
     import duckdb
