@@ -40,7 +40,7 @@ SPACE, MARK, NEWLINE = 0x20, 0x2581, 0x0A
 #: A group whose log mass lies further below zero is not drawn unless the frontier sinks that low; no draw of 32 bits lifts a group by more than LIFT.
 CUT, LIFT = -32.0, 23.0
 #: Log mass of a character, near enough, and the length up to which a word's mass is summed in units of it.
-_UNIT, _LONG = 2.0, 100
+_UNIT, _LONG, _LEAST = 2.0, 100, 1e-250
 _U = np.uint64
 _BASE = _U(0x100000001B3)
 _SLOTS = 19
@@ -189,8 +189,9 @@ class Lattice:
     def weigh(self) -> None:
         """The chance of each edge, given its state: from the mass behind the states, words' ends first.
 
-        Mass is summed in the linear domain, in units of e ** (-_UNIT) a character; past
-        _LONG characters before a word's end, where that could leave the range of doubles, in logs.
+        Mass is summed in the linear domain, in units of e ** (-_UNIT) a character; in logs past
+        _LONG characters before a word's end, and wherever the sum is below _LEAST: rare characters
+        leave the range of doubles sooner. What a state above _LEAST loses by that is far below its rounding.
         """
         n = len(self.cp)
         length = np.arange(1, self.width + 1)
@@ -205,13 +206,15 @@ class Lattice:
                 x = scaled[a:b, :k] * self._behind(mass, place, r, k, 1.0)
                 total = x.sum(axis=1)
                 mass[place] = total
-                logs[place] = np.log(total) - _UNIT * r
+                small = np.flatnonzero(total < _LEAST)
+                if len(small):
+                    x[small], total[small], logs[place[small]] = self._in_logs(logs, a + small, place[small], r, k)
+                    large = np.flatnonzero(mass[place] >= _LEAST)
+                    logs[place[large]] = np.log(total[large]) - _UNIT * r
+                else:
+                    logs[place] = np.log(total) - _UNIT * r
             else:
-                x = self.w[a:b, :k] + self._behind(logs, place, r, k, 0.0)
-                top = x.max(axis=1)
-                x = np.exp(x - top[:, None])
-                total = x.sum(axis=1)
-                logs[place] = top + np.log(total)
+                x, total, logs[place] = self._in_logs(logs, np.arange(a, b), place, r, k)
             np.divide(x, total[:, None], out=self.p[a:b, :k], casting="unsafe")
         # Most draws fall on a state's likeliest edge; those never look at the others.
         top = self.p.argmax(axis=1)
@@ -222,6 +225,14 @@ class Lattice:
         self.p.ravel()[flat] = self.top_p
         self.share = self.top_p / (self.top_p + self.rest)  # 1 where there is no other edge
 
+    def _in_logs(self, logs: np.ndarray, rows: np.ndarray, place: np.ndarray, r: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each edge's mass in units of the state's largest, their sum, and the log of the state's mass."""
+        x = self.w[rows, :k] + self._behind(logs, place, r, k, 0.0)
+        top = x.max(axis=1)
+        x = np.exp(x - top[:, None])
+        total = x.sum(axis=1)
+        return x, total, top + np.log(total)
+
     def draw_edges(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge's length at each state, for ``u`` uniform in (0, 1)."""
         out = self.top[state].astype(np.int64)
@@ -350,12 +361,16 @@ def sample_slice(all_texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary
         ends = np.searchsorted(tokens, lat.doc_at)
         length = path[tokens].astype(np.int64)
         state = lat.state[tokens].astype(np.int64)
-        run = np.concatenate([[0], np.cumsum(np.log(lat.chances(state, length)), dtype=np.float64)])
+        run, whole = np.append(np.log(lat.chances(state, length)).astype(np.float64), 0.0), {}
+        for d in live.tolist():  # the log probability before each token, text by text
+            a, b = ends[d], ends[d + 1]
+            sums = np.cumsum(run[a:b])
+            run[a], run[a + 1 : b], whole[d] = 0, sums[:-1], float(sums[-1])
         ids, many = lat.token_ids(tokens, state, length)
         id_at = np.concatenate([[0], np.cumsum(many)])
         for d in live.tolist():
             a, b = ends[d], ends[d + 1]
-            found[draw].append((d, ids[id_at[a] : id_at[b]], float(min(run[b] - run[a], 0.0))))
+            found[draw].append((d, ids[id_at[a] : id_at[b]], min(whole[d], 0.0)))
         _open(lat, heaps, live, np.searchsorted(tokens, begin), ends[live + 1], cum, run, tokens, state, length, score[draw], seeds, draw, k - draw)
 
         # Pop the best group of each text: its score is the next one's, and it tells where to branch.

@@ -109,6 +109,36 @@ def test_mass_in_logs_equals_linear(vocabulary, monkeypatch):
     assert np.allclose(a.p, b.p, atol=1e-6)
 
 
+def ways(text, v):
+    """In how many ways a text can be cut into pieces."""
+    lat = s.Lattice([text], v)
+    n = [0] * len(lat.chars) + [1] + [0] * lat.width
+    for i in reversed(range(len(lat.chars))):
+        n[i] = sum(n[i + k + 1] for k in range(lat.width) if lat.w[lat.state[i], k] > -np.inf)
+    return n[0]
+
+
+def test_unspaced_and_unknown_characters(vocabulary):
+    """Rare characters do not leave the range of doubles, and do not spoil the ordinary texts of their slice."""
+    chinese, thai = "中国人民共和国的一个大学生在北京和上海", "สวัสดีชาวโลกทุกคนที่อยู่ที่นี่"
+    odd = [(c * 30)[:n] for c in (chinese, thai) for n in (70, 99, 101, 300)] + ["\U0001faa9" * 20, "9f" * 60]
+    texts = [x for t in odd for x in (t, "The quick brown fox jumps over the dog")]
+    lat = s.Lattice(texts, vocabulary)
+    lat.weigh()
+    assert np.isfinite(lat.p).all() and np.allclose(lat.p.sum(axis=1), 1, atol=1e-5)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(s, "_LONG", 0)
+        logs = s.Lattice(texts, vocabulary)
+        logs.weigh()
+    assert np.allclose(lat.p, logs.p, atol=1e-6)
+    seeds = s.row_seeds(list(range(len(texts))), 3)
+    for k, (t, rows) in enumerate(zip(texts, s.sample_slice(texts, seeds, vocabulary))):
+        assert all(vocabulary.decode(ids) == t and np.isfinite([p, q]).all() for ids, p, q in rows)
+        assert len({tuple(ids.tolist()) for ids, _, _ in rows}) == len(rows) == min(ways(t, vocabulary), s.SAMPLES)
+        alone = s.sample_slice([t], seeds[k : k + 1], vocabulary)[0]
+        assert [(a.tolist(), b, c) for a, b, c in alone] == [(a.tolist(), b, c) for a, b, c in rows]
+
+
 def test_query_round_trips(spark, sf_dir):
     rows = s.op3_sentencepiece(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
