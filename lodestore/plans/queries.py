@@ -261,9 +261,10 @@ def idempotent_first_write(spark, sf_dir):
 
 @query("SELECT event_id, lower(lpad(hex(event_id), 16, '0') || lpad(hex(xor(user_id, event_id % 7)), 2, '0') || '000000' || '00000000000000000000000A') AS token FROM events WHERE user_id < 256")
 def token_derivation(spark, sf_dir):
-    """The index goes into bytes 8 to 11, its lowest byte first."""
-    e = workload.read(spark, sf_dir, "events").where("user_id < 256")
-    nonce = F.unhex(F.concat(F.lpad(F.hex(F.col("user_id")), 2, "0"), F.lit("000000" + "00000000000000000000000A")))
+    """The index goes into bytes 8 to 11, its lowest byte first; so does the user's id, of eight bytes."""
+    e = workload.read(spark, sf_dir, "events")
+    user = F.lpad(F.hex(F.col("user_id")), 16, "0")
+    nonce = F.unhex(F.concat(*[F.substring(user, 15 - 2 * k, 2) for k in range(8)], F.lit("000000000000000A")))
     made = keys.derived_token(keys.token_bytes(F.col("event_id"), nonce), F.pmod("event_id", F.lit(7)))
     return e.select("event_id", F.lower(F.hex(made)).alias("token"))
 

@@ -34,6 +34,17 @@ def test_query(spark, sf_dir, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_token_derivation_has_every_event(spark, tmp_path):
+    """Every user id, of whatever size, stands whole in its tokens."""
+    users = [0, 255, 256, 1499, 2**24 + 5, 2**32 + 255, 2**53 + 9, None]
+    rows = [(i, u) for u in users for i in range(len(users) * 7)]
+    rows = [(k, u) for k, (_, u) in enumerate(rows)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.token for r in catalog.queries()["token_derivation"](spark, str(tmp_path)).collect()}
+    want = {k: None if u is None else (k.to_bytes(8, "big") + (u ^ k % 7).to_bytes(8, "little") + bytes(7) + b"\x0a").hex() for k, u in rows}
+    assert got == want
+
+
 def test_known_counts(spark):
     from lodestore.operators import kernel, paging
     from lodestore.sources import workload
