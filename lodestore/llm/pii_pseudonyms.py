@@ -26,8 +26,11 @@ ROUNDS = 10
 
 # Formats of numbers and dates. A candidate is not part of a longer run of letters or digits.
 _EDGE_L, _EDGE_R = r"(?<![0-9A-Za-z])(?<![0-9][.\-/])", r"(?![0-9A-Za-z])(?![.\-/][0-9])"
-CARD = re.compile(_EDGE_L + r"[0-9](?:[ -]?[0-9]){12,18}" + _EDGE_R)
+#: Digits and separators in a row, of any length: readings of them may be cards.
+CARD = re.compile(_EDGE_L + r"[0-9](?:[ -]?[0-9]){12,}" + _EDGE_R)
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z])")
+#: Cards as they are written: one number, or groups by one separator.
+_CARD_FORM = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{4}([ -])[0-9]{3}\3[0-9]{3}\3[0-9]{3}")
 SSN = re.compile(_EDGE_L + r"([0-9]{3})-([0-9]{2})-([0-9]{4})" + _EDGE_R)
 PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[1-9][0-9](?:[ .()-]{0,2}[0-9]){7,12}(?![0-9A-Za-z])")
 IPV4 = re.compile(_EDGE_L + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _EDGE_R)
@@ -41,6 +44,8 @@ _PLACE = {c: (k, i) for k, alphabet in enumerate(_ALPHABETS) for i, c in enumera
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 _DIGITS = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
+_DOUBLED = bytes(sum(divmod((c - 48) * 2, 10)) if 48 <= c < 58 else 0 for c in range(256))
 
 
 class Cipher:
@@ -189,7 +194,56 @@ def email(text: str, cipher: Cipher) -> str | None:
     return "".join(next(it) if c in _PLACE else c for c in lower) + "@" + domain
 
 
-_NUMBERS = (("iban", IBAN, iban), ("card", CARD, card), ("ssn", SSN, ssn), ("phone", PHONE, phone), ("ipv4", IPV4, ipv4), ("date", ISO_DATE, date), ("date", DMY_DATE, date))
+def _luhn_holds(digits: bytes) -> bool:
+    other = digits[-2::-2]
+    return (sum(digits[-1::-2]) - 48 * (len(digits) - len(other)) + sum(other.translate(_DOUBLED))) % 10 == 0
+
+
+def cards(text: str, cipher: Cipher) -> list[tuple[int, int, str]]:
+    """Valid readings of whole groups of digits; those in the form of cards first, then the first and longest."""
+    out = []
+    for m in CARD.finditer(text):
+        at, groups = m.start(), [g.span() for g in _GROUP.finditer(m[0])]
+        digits = "".join(_GROUP.findall(m[0])).encode()
+        found, first = [], 0
+        for i, (a, b) in enumerate(groups):
+            last = first
+            for x, y in groups[i : i + 19]:
+                last += y - x
+                if last - first > 19:
+                    break
+                if last - first >= 13 and _luhn_holds(digits[first:last]):
+                    found.append((not _CARD_FORM.fullmatch(text, at + a, at + y), a, -y))
+            first += b - a
+        taken = bytearray(len(m[0]))
+        for _, a, b in sorted(found):
+            if not any(taken[a:-b]):
+                taken[a:-b] = b"\1" * (-b - a)
+                out.append((at + a, at - b, card(text[at + a : at - b], cipher)))
+    return out
+
+
+def ibans(text: str, cipher: Cipher) -> list[tuple[int, int, str]]:
+    """At each word that may begin one, the longest valid reading that ends with a word."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        a, b = m.span()
+        at = a + 1
+        while b > a:
+            new = iban(text[a:b], cipher)
+            if new is not None:
+                out.append((a, b, new))
+                at = b
+                break
+            b = text.rfind(" ", a, b)
+    return out
+
+
+def _each(pattern: re.Pattern, make: Callable[[str, Cipher], str | None]) -> Callable[[str, Cipher], list[tuple[int, int, str]]]:
+    return lambda text, cipher: [(*m.span(), new) for m in pattern.finditer(text) if (new := make(m[0], cipher)) is not None]
+
+
+_NUMBERS = (("iban", ibans), ("card", cards), ("ssn", _each(SSN, ssn)), ("phone", _each(PHONE, phone)), ("ipv4", _each(IPV4, ipv4)), ("date", _each(ISO_DATE, date)), ("date", _each(DMY_DATE, date)))
 _ANY_DIGIT = re.compile(r"[0-9]")
 
 
@@ -210,11 +264,8 @@ def find_pii(text: str, cipher: Cipher) -> list[tuple[str, int, int, str]]:
                 done = m.end()
         at = text.find("@", at + 1)
     if _ANY_DIGIT.search(text):
-        for kind, pattern, make in _NUMBERS:
-            for m in pattern.finditer(text):
-                new = make(m[0], cipher)
-                if new is not None:
-                    found.append((kind, *m.span(), new))
+        for kind, find in _NUMBERS:
+            found += [(kind, *x) for x in find(text, cipher)]
     out, end = [], 0
     for k in sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), -x[2])):
         if k[1] >= end:

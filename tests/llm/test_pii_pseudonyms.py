@@ -59,6 +59,25 @@ def test_checks():
     assert len(days) == 500
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("card 4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+        ("4111111111111111 2 items", ["4111111111111111"]),
+        ("12 4111111111111111", ["4111111111111111"]),
+        ("1234 4111 1111 1111 1111 1234", ["4111 1111 1111 1111"]),
+        ("4111-1111-1111-1111-123", ["4111-1111-1111-1111"]),
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 EUR 500", ["DE89370400440532013000"]),
+        ("DE89370400440532013000 2 Tage", ["DE89370400440532013000"]),
+        ("NR12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ],
+)
+def test_numbers_beside_other_numbers(text, values):
+    assert [text[a:b] for _, a, b, _ in one(text)] == values
+
+
 def test_query_equals_slow_replacement(spark):
     d = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
