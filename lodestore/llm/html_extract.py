@@ -7,8 +7,7 @@ what elements or their names mark as furniture goes: a sentence that two article
 share is text. Where a page marks no article, the text that is left after deletion
 is the main text.
 
-The number of recurring subtrees of a host is bounded whatever the number of its
-pages, as each must stand on a fixed share of them.
+Each page is given its own recurring subtrees, by a join, so that a host may have any number of them.
 """
 
 from __future__ import annotations
@@ -23,9 +22,10 @@ from pyspark.sql import functions as F
 
 from lodestore.llm.common import batch_of, map_arrow, read, scratch, texts
 
-#: A subtree is a template if it stands on so many of its host's pages, and on this share of them.
+#: A subtree is a template if it stands on so many of its host's pages, and on this share of them or on many.
 MIN_PAGES = 4
 MIN_SHARE = 0.2
+MANY_PAGES = 100
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -177,6 +177,11 @@ def main_node(nodes: list[Node]) -> list[Node]:
 
 def template_candidates(page: str) -> list[int]:
     """Hashes of the subtrees with text that stand outside of an article, as signed 64-bit numbers; each once."""
+    return candidates(page)[0]
+
+
+def candidates(page: str) -> tuple[list[int], bool]:
+    """Hashes of ``template_candidates``, and whether the page's text is what is left without the templates among them."""
     root = parse(page)
     nodes = hash_subtrees(root)
     main = main_node(nodes)
@@ -189,7 +194,7 @@ def template_candidates(page: str) -> list[int]:
                 inside.add(id(up))
                 up = up.parent
     held = {n.hash for n in nodes if id(n) not in inside and n.tag not in ("", "html", "body") and _has_text(n)}
-    return [h - (1 << 64) if h >= 1 << 63 else h for h in sorted(held)]
+    return [h - (1 << 64) if h >= 1 << 63 else h for h in sorted(held)], main[0] is root
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
@@ -238,17 +243,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.when(host != "", host).alias("host"))
-    held_schema = pa.schema([("host", pa.string()), ("hash", pa.int64())])
+    rows = rows.withColumn("page", F.xxhash64("html"))  # pages of one host and text have one template
+    held_schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64()), ("cut", pa.bool_())])
 
     def held(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = [(h, x) for h, page in zip(batch.column(0).to_pylist(), texts(batch.column(1))) for x in template_candidates(page)]
-        return batch_of(held_schema, [h for h, _ in pairs], [x for _, x in pairs])
+        out = []
+        for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+            hashes, free = candidates(text)
+            out += [(host, page, x, free) for x in hashes]
+        return batch_of(held_schema, *([r[k] for r in out] for k in range(4)))
 
     on_host = rows.where("host IS NOT NULL")
-    counts = map_arrow(on_host.select("host", "html"), held, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    pairs = scratch(map_arrow(on_host.select("host", "page", "html"), held, "host string, page long, hash long, cut boolean"))
+    counts = pairs.groupBy("host", "hash").agg(F.count("*").alias("n"))
     sizes = on_host.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= F.col("pages") * MIN_SHARE)
-    templates = scratch(often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template")))
+    often = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= F.least(F.col("pages") * MIN_SHARE, F.lit(MANY_PAGES))).select("host", "hash")
+    templates = scratch(pairs.where("cut").join(often, ["host", "hash"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("template")))
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     known: dict[tuple, frozenset[int]] = {}
@@ -264,7 +274,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             out.append(main_text(page, known[hashes]))
         return batch_of(schema, batch.column(0), batch.column(1), out)
 
-    return map_arrow(rows.join(templates, "host", "left").select("page_id", "url", "html", "template"), cut, "page_id long, url string, text string")
+    return map_arrow(rows.join(templates, ["host", "page"], "left").select("page_id", "url", "html", "template"), cut, "page_id long, url string, text string")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

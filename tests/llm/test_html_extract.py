@@ -60,6 +60,14 @@ def test_templates_of_a_site_go_and_shared_article_text_stays(spark):
     assert got[200] == "This sentence is on every page.\nAlone." and got[201] == "This sentence is on every page."
 
 
+def test_templates_of_a_large_host_go(spark):
+    """A menu of one section stands on many pages, but on a small share of its host's."""
+    menu = "<div><span>Section menu</span></div>"
+    rows = [(i, f"https://a.example/{i}", (menu if i < 150 else "") + f"<p>Story {i}.</p>") for i in range(1000)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}." for i in range(1000)}
+
+
 def test_hashes_cover_whole_subtrees():
     a, b = template_candidates("<div><p>x</p></div>"), template_candidates("<div class=q><p>x</p></div>")
     c = template_candidates("<div><b>x</b></div>")
