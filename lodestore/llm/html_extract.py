@@ -2,8 +2,9 @@
 
 Pages are parsed into a tree. The subtree of every element is hashed (tag and text,
 without attributes, which often differ in ids); Spark counts on how many pages of its
-host each hash stands, and subtrees that recur on many are deleted. Inside an article only
-what elements or their names mark as furniture goes: a sentence that two articles
+host each hash stands, and subtrees that recur on many are deleted. Inside an article
+what elements or their names mark as furniture goes, and of recurring subtrees those of
+several blocks or mostly of links that different articles hold: a sentence that two articles
 share is text. Where a page marks no article, the text that is left after deletion
 is the main text.
 
@@ -26,6 +27,8 @@ from lodestore.llm.common import batch_of, map_arrow, read, scratch, texts
 MIN_PAGES = 4
 MIN_SHARE = 0.2
 MANY_PAGES = 100
+#: Inside articles: on so many different articles, and on this share of the host's pages. No part of over half of an article's text is one.
+INSIDE_SHARE = 0.5
 
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -175,18 +178,26 @@ def main_node(nodes: list[Node]) -> list[Node]:
     return nodes[:1]
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def template_candidates(page: str) -> list[int]:
     """Hashes of the subtrees with text that stand outside of an article, as signed 64-bit numbers; each once."""
-    return candidates(page)[0]
+    return [h for h, _, article in candidates(page) if article is None]
+
 
+def candidates(page: str) -> list[tuple[int, bool, int | None]]:
+    """(hash, whether the page's text is without it if it is a template, the article it stands in), each once.
 
-def candidates(page: str) -> tuple[list[int], bool]:
-    """Hashes of ``template_candidates``, and whether the page's text is what is left without the templates among them."""
+    Outside of articles these are the subtrees with text; they only matter where there is no article.
+    """
     root = parse(page)
     nodes = hash_subtrees(root)
     main = main_node(nodes)
+    free = main[0] is root
     inside = set()
-    if main[0] is not root:
+    if not free:
         for m in main:
             inside.update(map(id, _order(m)))
             up = m.parent
@@ -194,7 +205,33 @@ def candidates(page: str) -> tuple[list[int], bool]:
                 inside.add(id(up))
                 up = up.parent
     held = {n.hash for n in nodes if id(n) not in inside and n.tag not in ("", "html", "body") and _has_text(n)}
-    return [h - (1 << 64) if h >= 1 << 63 else h for h in sorted(held)], main[0] is root
+    out = [(_signed(h), free, None) for h in sorted(held)]
+    if not free:
+        article = _signed(int.from_bytes(hashlib.blake2b(b"".join(m.hash.to_bytes(8, "big") for m in main), digest_size=8).digest(), "big"))
+        out += [(_signed(h), True, article) for h in sorted(_furniture_like(main))]
+    return out
+
+
+def _furniture_like(main: list[Node]) -> set[int]:
+    """Hashes of the parts of an article that may be furniture: several blocks, or mostly links, and not the most of the text."""
+    size: dict[int, tuple[int, int, int]] = {}  # characters, those in links, blocks with text further in
+    nodes = [n for m in main for n in _order(m)]
+    for n in reversed(nodes):
+        chars = links = blocks = 0
+        for k in n.kids if not n.dropped else ():
+            if type(k) is str:
+                chars += len("".join(k.split()))
+            else:
+                c, a, b = size[id(k)]
+                chars, links, blocks = chars + c, links + a, blocks + b + (k.tag in BLOCK and c > 0)
+        size[id(n)] = chars, chars if n.tag == "a" else links, blocks
+    total, tops = sum(size[id(m)][0] for m in main), set(map(id, main))
+    held = set()
+    for n in nodes:
+        chars, links, blocks = size[id(n)]
+        if chars and id(n) not in tops and n.tag in BLOCK and 2 * chars <= total and (blocks >= 2 or 2 * links > chars):
+            held.add(n.hash)
+    return held
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
@@ -202,7 +239,6 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     root = parse(page)
     nodes = hash_subtrees(root) if template else _order(root)
     main = main_node(nodes)
-    free = main[0] is root  # nothing marks an article: templates are all that tells
     blocks: list[str] = []
     inline: list[str] = []
 
@@ -221,7 +257,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 flush()
             elif type(k) is str:
                 inline.append(k)
-            elif k.dropped or free and (k.hash - (1 << 64) if k.hash >= 1 << 63 else k.hash) in template and k.tag not in ("", "html", "body"):
+            elif k.dropped or template and _signed(k.hash) in template and k.tag not in ("", "html", "body"):
                 inline.append(" ")
             else:
                 block = k.tag in BLOCK
@@ -244,21 +280,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.when(host != "", host).alias("host"))
     rows = rows.withColumn("page", F.xxhash64("html"))  # pages of one host and text have one template
-    held_schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64()), ("cut", pa.bool_())])
+    held_schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64()), ("cut", pa.bool_()), ("article", pa.int64())])
 
     def held(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-            hashes, free = candidates(text)
-            out += [(host, page, x, free) for x in hashes]
-        return batch_of(held_schema, *([r[k] for r in out] for k in range(4)))
+            out += [(host, page, *x) for x in candidates(text)]
+        return batch_of(held_schema, *([r[k] for r in out] for k in range(5)))
 
     on_host = rows.where("host IS NOT NULL")
-    pairs = scratch(map_arrow(on_host.select("host", "page", "html"), held, "host string, page long, hash long, cut boolean"))
-    counts = pairs.groupBy("host", "hash").agg(F.count("*").alias("n"))
+    pairs = scratch(map_arrow(on_host.select("host", "page", "html"), held, "host string, page long, hash long, cut boolean, article long"))
+    # Outside of articles pages are counted, inside different articles: copies of one do not make its text a template.
+    inside = F.col("article").isNotNull().alias("inside")
+    each = pairs.groupBy("host", "hash", "article").agg(F.count("*").alias("n"))
+    counts = each.groupBy("host", "hash", inside).agg(F.sum(F.when(inside, 1).otherwise(F.col("n"))).alias("n"))
     sizes = on_host.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= F.least(F.col("pages") * MIN_SHARE, F.lit(MANY_PAGES))).select("host", "hash")
-    templates = scratch(pairs.where("cut").join(often, ["host", "hash"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("template")))
+    least = F.when(F.col("inside"), F.col("pages") * INSIDE_SHARE).otherwise(F.least(F.col("pages") * MIN_SHARE, F.lit(MANY_PAGES)))
+    often = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= least).select("host", "hash", "inside")
+    cut_pairs = pairs.where("cut").select("host", "page", "hash", inside)
+    templates = scratch(cut_pairs.join(often, ["host", "hash", "inside"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("hash")).alias("template")))
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     known: dict[tuple, frozenset[int]] = {}

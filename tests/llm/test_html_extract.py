@@ -68,6 +68,20 @@ def test_templates_of_a_large_host_go(spark):
     assert got == {i: f"Story {i}." for i in range(1000)}
 
 
+def test_unmarked_boilerplate_inside_articles_goes(spark):
+    """Blocks that different articles of a host share go; shared sentences, and the text of copied articles, stay."""
+    more = "<div><p>More stories</p><p><a href=/1>One</a> <a href=/2>Two</a></p></div>"
+    line = "<p>This sentence is on every page.</p>"
+    story = lambda i: f"<p>Story {i} is long enough to be most of its article.</p><p>And it goes on for a second paragraph.</p>"
+    text = lambda i: f"This sentence is on every page.\nStory {i} is long enough to be most of its article.\nAnd it goes on for a second paragraph."
+    rows = [(i, f"https://{tag}.example/{i}", f"<{tag}>{line}{story(i)}{more}</{tag}>") for k, tag in enumerate(("article", "main")) for i in range(10 * k, 10 * k + 10)]
+    copied = f"<article><div>{story(0)}</div><div><p>a</p><p>b</p></div></article>"
+    rows += [(100 + i, "https://copies.example/", copied) for i in range(10)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == text(i) for i in range(20))
+    assert all(got[100 + i] == text(0).partition("\n")[2] + "\na\nb" for i in range(10))
+
+
 def test_hashes_cover_whole_subtrees():
     a, b = template_candidates("<div><p>x</p></div>"), template_candidates("<div class=q><p>x</p></div>")
     c = template_candidates("<div><b>x</b></div>")
