@@ -22,6 +22,8 @@ from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch
 SAMPLE = 2000
 #: Hashed features, half for words and half for word shapes.
 DIM = 2048
+#: Words of a window in which repetition is measured, so that it does not change with the length of a text.
+SPAN = 2000
 #: Below a half: what little text a short document has should not cost it its place.
 THRESHOLD = 0.35
 LABELLERS = ("symbols", "capitals", "repetition", "separators", "function_words", "sentences", "word_length", "stutter")
@@ -73,6 +75,12 @@ def _again(words: wordkit.Words, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(h: np.ndarray) -> float:
+    """The share of distinct words in windows of SPAN words, the last of which ends with the text."""
+    starts = [*range(0, len(h) - SPAN, SPAN), max(len(h) - SPAN, 0)]
+    return sum(len(np.unique(h[a : a + SPAN])) for a in starts) / len(starts) / max(min(len(h), SPAN), 1)
+
+
 def votes(column: pa.Array) -> np.ndarray:
     """A row of votes for each text, in the order of LABELLERS."""
     raw, at = wordkit.flat(column, lower=False)
@@ -84,7 +92,7 @@ def votes(column: pa.Array) -> np.ndarray:
     k = np.searchsorted(known, h)
     k[k == len(known)] = 0
     function = _sums((known[k] == h).astype(np.int64), words.first) / some if len(h) else np.zeros(len(n))
-    distinct = np.array([len(np.unique(h[a:b])) for a, b in zip(words.first, words.first[1:])], dtype=np.float64)
+    distinct = np.array([_distinct(h[a:b]) for a, b in zip(words.first, words.first[1:])], dtype=np.float64)
     letters = np.maximum(_sums(_LETTER[raw], at), 1)
     points = _sums(_POINT[raw], at)
     ends = _sums(_STOP[raw], at)
@@ -97,7 +105,7 @@ def votes(column: pa.Array) -> np.ndarray:
         [
             vote(_sums(_SYMBOL[raw], at) / some, lambda v: v < 0.1, lambda v: v > 0.5),
             vote(_sums(_UPPER[raw], at) / letters, lambda v: v < 0.2, lambda v: v > 0.5),
-            vote(distinct / some, lambda v: (v > 0.3) & (n < 2000) | (v > 0.1) & (n >= 2000), lambda v: (v < 0.15) & (n > 20) & (n < 2000)),
+            vote(distinct, lambda v: v > 0.3, lambda v: (v < 0.15) & (n > 20)),
             vote(bars / some, lambda v: v < 0.02, lambda v: v > 0.2),
             vote(function, lambda v: v > 0.15, lambda v: (v < 0.02) & (n > 40)),
             vote(ends / some, lambda v: (v > 0.02) & (v < 0.5), lambda v: (v < 0.003) & (n > 40)),

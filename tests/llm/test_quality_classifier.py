@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestore.llm import quality_classifier as q
@@ -15,6 +16,13 @@ def test_held_out_accuracy(spark):
     assert np.mean(right) > 0.97 and np.mean(clean) > 0.98
 
 
+def test_repetition_is_judged_alike_at_every_length():
+    passage = " ".join(f"word{i}" for i in range(100))
+    prose = " ".join(f"word{i * i % 99991}" for i in range(30000))
+    votes = q.votes(pa.array([*(" ".join([passage] * k) for k in (19, 20, 21, 40, 300)), prose]))[:, q.LABELLERS.index("repetition")]
+    assert votes.tolist() == [q.BAD] * 5 + [q.GOOD]
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(20000) < 0.7
