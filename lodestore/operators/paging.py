@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -34,6 +34,24 @@ def first_page(items: DataFrame, budget: int | None = None, limit: int | None =
     return out
 
 
+def one_page(items: DataFrame, budget: int, limit: int | None, record_bytes: int) -> tuple[list, bool]:
+    """The first page of one record's ``items``, in order, and whether an item is left: one job.
+
+    No page has more items than its budget has record ids, so only a top-k of that many is sorted,
+    however long the record is.
+    """
+    most = min(limit or budget, -(-budget // (record_bytes + 1)))
+    top = items.orderBy("item_key").limit(most + 1)
+    w = Window.orderBy("item_key").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(item_bytes()).over(w), F.lit(0))
+    n = F.count(F.lit(1)).over(w)
+    numbered = top.withColumn("_in", (before < budget) & (n < most)).withColumn("_again", F.coalesce(F.lag("_in").over(Window.orderBy("item_key")), F.lit(True)))
+    rows = numbered.where("_again").drop("_again").collect()
+    names = items.columns
+    page = [Row(*names)(*(r[c] for c in names)) for r in rows if r["_in"]]
+    return page, len(page) < len(rows)
+
+
 def resume(items: DataFrame, last_keys: DataFrame, budget: int | None = None, limit: int | None = None) -> DataFrame:
     """The page after ``last_keys`` (record_id, last_key); records without one start anew."""
     later = items.join(last_keys, "record_id", "left").where(F.col("last_key").isNull() | (F.col("item_key") > F.col("last_key"))).drop("last_key")

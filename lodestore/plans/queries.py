@@ -159,9 +159,15 @@ def get_match_all(spark, sf_dir):
     return shown(predicates.match_all(kernel.visible_items(log)))
 
 
-@query(f"WITH {VISIBLE} SELECT record_id, item_key, value, seq FROM v WHERE record_id = 'user:000001' AND item_key = 'view:099'")
+#: Of one record: keys that are there, deleted, covered by a range delete, and never written.
+POINTS = ("click:003", "click:004", "click:007", "click:024", "click:031", "purchase:094", "view:035", "view:099", "none:000")
+
+
+@query(f"WITH {VISIBLE} SELECT record_id, item_key, value, seq FROM v WHERE record_id = 'user:000001' AND item_key IN {POINTS}")
 def point_read(spark, sf_dir):
-    return shown(kernel.point_read(workload.mutation_log(spark, sf_dir), "user:000001", b"view:099"))
+    """Each key by a read of its own."""
+    log = workload.mutation_log(spark, sf_dir)
+    return shown(kernel.merge(*[kernel.point_read(log, "user:000001", k.encode()) for k in POINTS]))
 
 
 @query(f"WITH {VISIBLE} SELECT record_id, item_key, value, seq FROM v WHERE item_key >= 'view:' AND item_key < 'view:' || chr(255)")
@@ -259,7 +265,10 @@ def idempotent_first_write(spark, sf_dir):
     return dedup.first_write_wins(workload.mutation_log(spark, sf_dir)).select("record_id", text("item_key"), "op", text("token"), "seq")
 
 
-@query("SELECT event_id, lower(lpad(hex(event_id), 16, '0') || lpad(hex(xor(user_id, event_id % 7)), 2, '0') || '000000' || '00000000000000000000000A') AS token FROM events WHERE user_id < 256")
+_LITTLE = " || ".join(f"lpad(hex((x >> {8 * k}) & 255), 2, '0')" for k in range(8))
+
+
+@query(f"SELECT event_id, lower(lpad(hex(event_id), 16, '0') || {_LITTLE} || '000000000000000A') AS token FROM (SELECT event_id, xor(user_id, event_id % 7) AS x FROM events)")
 def token_derivation(spark, sf_dir):
     """The index goes into bytes 8 to 11, its lowest byte first; so does the user's id, of eight bytes."""
     e = workload.read(spark, sf_dir, "events")

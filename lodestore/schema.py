@@ -73,6 +73,10 @@ class Conflict(StoreError):
     """Another writer committed first."""
 
 
+class Fenced(Conflict):
+    """A newer writer or compactor has begun; trying again does not help."""
+
+
 class Unavailable(StoreError):
     """The namespace does not take this kind of request in its state."""
 

@@ -1,16 +1,55 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables written there to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none, as on one machine."""
+    """spark.checkpoint.dir. Only a local master may leave it unset, and gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestore-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+#: Scratch tables of this process that are still there.
+_written: set[str] = set()
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _written.add(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again: all that came of them has been written."""
+    for t in tables:
+        path = getattr(t, "_scratch_path", None)
+        if path in _written:
+            _written.discard(path)
+            _delete(t.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process, once their results have been written."""
+    while _written:
+        _delete(spark, _written.pop())

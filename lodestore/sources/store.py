@@ -1,10 +1,17 @@
 """The record store: namespaces of snapshots over Parquet files of the mutation log.
 
-A namespace is a folder: its configuration, snapshots numbered upwards, and data folders. A
-snapshot lists the data folders that make up the log at that point, with the sequence numbers
-given out so far. A commit is the exclusive creation of the next number's file: of two writers
-one succeeds, and the other tries again on top. Data is partitioned by the partition that a record
-is routed to and sorted by record and key, so that one record's read prunes folders and row groups.
+A namespace is a folder: versions of its configuration, snapshots numbered upwards, and data folders. A
+snapshot lists the files that make up the log at that point, each with its level and its range of keys,
+with the sequence numbers given out so far. A commit is the exclusive creation of the next
+number's file: of two writers one succeeds, and the other tries again on top. Files are dealt and sorted
+by partition, record and key, so that one record's read takes the few files whose range holds it, and of those
+the row groups that do.
+
+Before a writer writes data it claims the folder. Vacuum leaves claimed folders alone until the claim is older than
+the grace period; then it takes the claim and commits, so that the late writer's own commit fails.
+
+Tokens are remembered by themselves: compaction writes those of what it merges into token files, which only
+the retention period ends.
 
 Single requests (get, put, delete) and bulk ones (DataFrames of many records) share the same kernel.
 """
@@ -18,14 +25,15 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore import schema as s
-from lodestore.functions.keys import PageToken, VersionClock, derived_token, entry_bytes, random_token
+from lodestore.functions.keys import PageToken, VersionClock, big_endian, derived_token, random_token
 from lodestore.functions.routing import route, route_one
 from lodestore.operators import dedup, kernel, maintenance, paging, predicates
 from lodestore.sources.files import Files
+from lodestore.sources.shared import let_go, scratch
 
 ACTIVE, FROZEN, DRAINING, STOPPED = "active", "frozen", "draining", "stopped"
 #: States of a namespace that allow reads and writes.
@@ -51,8 +59,16 @@ class Config:
     batch_interval_ms: int = 10
     #: Tokens older than this are forgotten; None keeps all.
     token_retention_ms: int | None = None
-    #: Deletes are kept this long by a full compaction.
+    #: Deletes are kept this long by a compaction that could drop them.
     tombstone_ttl_ms: int = 0
+    #: Data files are cut at about this size.
+    file_bytes: int = s.FRAGMENT_BYTES
+    #: Level 0 is compacted beyond so many commits, levels 1 and 2 beyond these sizes.
+    l0_commits: int = s.L0_COMPACTION_FILES
+    l1_bytes: int = s.L1_BYTES
+    l2_bytes: int = s.L2_BYTES
+    #: Data that a writer claimed and has not committed is left alone this long.
+    grace_ms: int = 24 * 3600 * 1000
 
     def __post_init__(self):
         s.check_namespace(self.name)
@@ -69,6 +85,8 @@ class Config:
             bad = "fsync is sync or batch_sync"
         elif self.batch_interval_ms <= 0:
             bad = "the batch interval is positive"
+        elif min(self.file_bytes, self.l1_bytes, self.l2_bytes, self.l0_commits) <= 0 or self.grace_ms < 0:
+            bad = "sizes and limits of levels are positive"
         elif self.compression not in _CODECS:
             bad = f"compression is one of {', '.join(_CODECS)}"
         elif self.routing["kind"] == "composite" and not self.routing.get("fields"):
@@ -117,35 +135,52 @@ class Store:
 
     # Namespaces
 
+    def _config(self, name: str) -> tuple[int, dict | None]:
+        """The newest version of a namespace's configuration; None if it is not there, or no more."""
+        n, value = self.files.newest(f"{s.check_namespace(name)}/config")
+        return n, None if value is None or value.get("deleted") else value
+
     def create_namespace(self, config: Config) -> Namespace:
+        n, old = self._config(config.name)
+        if old is not None:
+            raise s.AlreadyExists(config.name)
         try:
-            self.files.create(f"{config.name}/config.json", json.dumps(asdict(config)).encode())
+            self.files.advance(f"{config.name}/config", n, asdict(config))
         except s.Conflict as e:
             raise s.AlreadyExists(config.name) from e
         return Namespace(self, config.name)
 
     def namespace(self, name: str) -> Namespace:
-        s.check_namespace(name)
-        if not self.files.exists(f"{name}/config.json"):
+        if not self.namespace_exists(name):
             raise s.NotFound(name)
         return Namespace(self, name)
 
     def namespace_exists(self, name: str) -> bool:
-        return self.files.exists(f"{s.check_namespace(name)}/config.json")
+        return self._config(name)[1] is not None
 
     def list_namespaces(self) -> list[str]:
-        return [n for n in self.files.list("") if self.files.exists(f"{n}/config.json")]
+        return [n for n in self.files.list("") if self.namespace_exists(n)]
 
     def update_namespace(self, config: Config) -> None:
-        old = self.namespace(config.name).config
-        if (old.partitions, old.routing) != (config.partitions, config.routing):
+        """Replaces the configuration; a reader sees the old one or the new one. Conflict if another writer was first."""
+        n, old = self._config(config.name)
+        if old is None:
+            raise s.NotFound(config.name)
+        if (old["partitions"], old["routing"]) != (config.partitions, config.routing):
             raise s.InvalidArgument("partitions and routing never change")
-        self.files.put_json(f"{config.name}/config.json", asdict(config))
+        self.files.advance(f"{config.name}/config", n, asdict(config), keep=2)
 
     def delete_namespace(self, name: str) -> None:
         """Takes the name away; data stays until it is vacuumed."""
-        self.namespace(name)
-        self.files.delete(f"{name}/config.json")
+        n, old = self._config(name)
+        if old is None:
+            raise s.NotFound(name)
+        self.files.advance(f"{name}/config", n, {"deleted": True}, keep=2)
+
+
+def _sort_key(partition: Column, record: Column, key: Column) -> Column:
+    """What files are dealt and sorted by, as one key: the partition in four bytes, the record, a zero byte, the item key."""
+    return F.concat(big_endian(partition, 4), record.cast("binary"), F.lit(b"\0"), key)
 
 
 class Namespace:
@@ -155,20 +190,24 @@ class Namespace:
     @property
     def config(self) -> Config:
         """Read anew each time, so that a change holds at once."""
-        return Config(**self.files.get_json(f"{self.name}/config.json"))
+        _, value = self.store._config(self.name)
+        if value is None:
+            raise s.NotFound(self.name)
+        return Config(**value)
 
     # Life cycle
 
     @property
     def state(self) -> str:
-        path = f"{self.name}/state.json"
-        return self.files.get_json(path)["state"] if self.files.exists(path) else ACTIVE
+        _, value = self.files.newest(f"{self.name}/state")
+        return value["state"] if value else ACTIVE
 
     def set_state(self, state: str) -> None:
-        now = self.state
+        n, value = self.files.newest(f"{self.name}/state")
+        now = value["state"] if value else ACTIVE
         if state not in _NEXT_STATE.get(now, ()):
             raise s.Unavailable(f"{now} does not become {state}")
-        self.files.put_json(f"{self.name}/state.json", {"state": state})
+        self.files.advance(f"{self.name}/state", n, {"state": state}, keep=2)
 
     def _allow(self, states: set[str]) -> None:
         if self.state not in states:
@@ -177,41 +216,54 @@ class Namespace:
     # Snapshots
 
     def snapshot_ids(self) -> list[int]:
-        return [int(n[:-5]) for n in self.files.list(f"{self.name}/snapshots") if n.endswith(".json") and n[:-5].isdigit()]
+        return self.files.versions(f"{self.name}/snapshots")
 
     def snapshot(self, number: int | None = None) -> dict:
-        ids = self.snapshot_ids()
         if number is None:
-            number = max(ids, default=0)
+            number, newest = self.files.newest(f"{self.name}/snapshots")
+            if newest is not None:
+                return newest
         if number == 0:
-            return {"id": 0, "parts": [], "next_seq": 1, "streams": {}, "epoch": 0}
-        if number not in ids:
+            return {"id": 0, "parts": [], "tokens": [], "next_seq": 1, "streams": {}, "epoch": 0, "compactor": 0}
+        if number not in self.snapshot_ids():
             raise s.NotFound(f"snapshot {number}")
         return self.files.get_json(f"{self.name}/snapshots/{number:020d}.json")
 
     def _commit(self, base: dict, **changes) -> dict:
         """The next snapshot, or Conflict if another writer made it."""
         new = base | changes | {"id": base["id"] + 1, "committed_ms": int(time.time() * 1000)}
-        self.files.create(f"{self.name}/snapshots/{new['id']:020d}.json", json.dumps(new, sort_keys=True).encode())
+        self.files.advance(f"{self.name}/snapshots", base["id"], new)
         return new
 
+    def _fence(self, base: dict, kind: str, epoch: int | None) -> None:
+        # The commit is on top of this very snapshot, so nobody can have begun in between.
+        if epoch is not None and base.get(kind, 0) > epoch:
+            raise s.Fenced(f"a newer {'writer' if kind == 'epoch' else kind} has begun")
+
     def begin_epoch(self) -> int:
         """A new writer's number; commits of older writers are refused from here on."""
         return self._commit(base := self.snapshot(), epoch=base.get("epoch", 0) + 1)["epoch"]
 
+    def begin_compactor(self) -> int:
+        """The same for compactors."""
+        return self._commit(base := self.snapshot(), compactor=base.get("compactor", 0) + 1)["compactor"]
+
     # The log
 
-    def log(self, snapshot: int | None = None, as_of: int | None = None, partition: int | None = None) -> DataFrame:
-        """The mutation log of a snapshot (the latest); ``partition`` leaves out the others' folders."""
-        base = self.snapshot(snapshot)
-        if not base["parts"]:
+    def _open(self, parts: list[dict]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], s.MUTATION_LOG)
-        frames = [self.spark.read.schema(s.MUTATION_LOG).parquet(self.files.url(f"{self.name}/data/{p['path']}")) for p in base["parts"] if partition is None or partition in p["partitions"]]
-        if not frames:
-            return self.spark.createDataFrame([], s.MUTATION_LOG)
-        out = kernel.merge(*frames).select(s.MUTATION_LOG.names)
-        if partition is not None:
-            out = out.where(F.col("partition_id") == partition)
+        return self.spark.read.schema(s.MUTATION_LOG).parquet(*[self.files.url(f"{self.name}/data/{p['path']}") for p in parts])
+
+    def log(self, snapshot: int | None = None, as_of: int | None = None, record: tuple[int, str] | None = None) -> DataFrame:
+        """The mutation log of a snapshot (the latest); ``record`` (partition, id) leaves out files whose range does not hold it."""
+        parts = self.snapshot(snapshot)["parts"]
+        if record is not None:
+            low = (record[0].to_bytes(4, "big") + record[1].encode() + b"\0").hex()
+            parts = [p for p in parts if p["min_key"][: len(low)] <= low <= p["max_key"]]
+        out = self._open(parts)
+        if record is not None:
+            out = out.where((F.col("partition_id") == record[0]) & (F.col("record_id") == record[1]))
         return kernel.as_of(out, as_of) if as_of is not None else out
 
     def items(self, snapshot: int | None = None, as_of: int | None = None) -> DataFrame:
@@ -219,78 +271,139 @@ class Namespace:
         self._allow(_READS)
         return kernel.visible_items(self.log(snapshot, as_of))
 
-    def _write_part(self, rows: DataFrame, level: int) -> dict | None:
-        """Rows become a data folder, sorted inside each partition; returns its entry for a snapshot."""
-        part = f"{level}-{uuid.uuid4().hex}"
-        url = self.files.url(f"{self.name}/data/{part}")
-        config = self.config
-        dealt = rows.select(s.MUTATION_LOG.names).repartition("partition_id", F.pmod(F.xxhash64("record_id"), F.lit(8))).sortWithinPartitions("partition_id", "record_id", "item_key", F.desc("seq"))
-        dealt.write.partitionBy("partition_id").option("compression", _CODECS[config.compression]).option("parquet.bloom.filter.enabled#record_id", "true").option("parquet.bloom.filter.fpp#record_id", str(config.bloom_false_positives)).parquet(url)
-        size = entry_bytes(F.col("item_key"), F.col("value"), F.col("metadata")).cast("long") + F.octet_length("record_id") + 1
-        key = F.concat(F.col("record_id").cast("binary"), F.lit(b"\0"), F.col("item_key"))
-        stats = self.spark.read.schema(s.MUTATION_LOG).parquet(url).agg(F.count("*").alias("n"), F.sum(size).alias("size"), F.min("seq").alias("seq_min"), F.max("seq").alias("seq_max"), F.hex(F.min(key)).alias("min_key"), F.hex(F.max(key)).alias("max_key"), F.collect_set("partition_id").alias("partitions")).first()
-        if not stats["n"]:
-            self.files.delete(f"{self.name}/data/{part}")
-            return None
-        return {"id": part, "path": part, "level": level, "entry_count": stats["n"], "size_bytes": stats["size"], "seq_min": stats["seq_min"], "seq_max": stats["seq_max"], "min_key": stats["min_key"], "max_key": stats["max_key"], "partitions": sorted(stats["partitions"]), "created_at_ms": int(time.time() * 1000)}
+    def _write_files(self, rows: DataFrame, folder: str, files: int | None) -> None:
+        """Rows by ranges of partition, record and key, sorted; a record with a third of all rows is cut inside."""
+        config, by = self.config, ["partition_id", "record_id", "item_key"]
+        # Without a number Spark joins small ranges at run time.
+        dealt = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+        writer = dealt.sortWithinPartitions(*by, F.desc("seq")).write.option("compression", _CODECS[config.compression])
+        # As large as a file's own keys need; by default each filter has a megabyte.
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for c in ("record_id", "token") if files != 1 else ():
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.fpp#{c}", str(config.bloom_false_positives))
+        writer.parquet(self.files.url(f"{self.name}/data/{folder}"))
+
+    def _claim(self) -> str:
+        """A new data folder's name. Vacuum leaves it alone while it is claimed."""
+        folder = uuid.uuid4().hex
+        self.files.create(f"{self.name}/pending/{folder}", json.dumps({"since_ms": int(time.time() * 1000)}).encode())
+        return folder
+
+    def _end_claims(self, folders: list[str], delete: bool = False) -> None:
+        for folder in folders:
+            if delete:
+                self.files.delete(f"{self.name}/data/{folder}")
+            self.files.delete(f"{self.name}/pending/{folder}")
+
+    def _write_parts(self, rows: DataFrame, level: int, folder: str, files: int | None = None) -> list[dict]:
+        """Rows become files of a claimed folder; returns their entries for a snapshot.
+
+        The entries come from the files' keys and sequences, read back: values are not read again. A range
+        delete counts for all keys that it covers, so that files it could touch meet its own.
+        """
+        self._write_files(rows.select(s.MUTATION_LOG.names), folder, files)
+        key = _sort_key(F.col("partition_id"), F.col("record_id"), F.col("item_key"))
+        beyond = F.concat(big_endian(F.col("partition_id"), 4), F.col("record_id").cast("binary"), F.lit(b"\1"))
+        end = F.when(F.octet_length("range_end") > 0, _sort_key(F.col("partition_id"), F.col("record_id"), F.col("range_end"))).otherwise(beyond)
+        last = F.when(F.col("op") == s.RANGE_DELETE, F.greatest(key, end)).otherwise(key)
+        written = self.spark.read.schema(s.MUTATION_LOG).parquet(self.files.url(f"{self.name}/data/{folder}"))
+        stats = written.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")).agg(
+            F.count("*").alias("n"), F.count("token").alias("tokens"), F.min("seq").alias("seq_min"), F.max("seq").alias("seq_max"), F.hex(F.min(key)).alias("min_key"), F.hex(F.max(last)).alias("max_key")
+        )
+        now = int(time.time() * 1000)
+        return [
+            {"id": f"{folder}/{r['file']}", "path": f"{folder}/{r['file']}", "level": level, "entry_count": r["n"], "tokens": r["tokens"], "size_bytes": r["size"], "seq_min": r["seq_min"], "seq_max": r["seq_max"], "min_key": r["min_key"].lower(), "max_key": r["max_key"].lower(), "created_at_ms": now}
+            for r in sorted(stats.collect(), key=lambda r: r["file"])
+        ]
 
     def file_meta(self, snapshot: int | None = None) -> DataFrame:
-        """FILE_META of a snapshot, for the functions in operators.maintenance."""
-        rows = [{k: v for k, v in p.items() if k != "partitions"} for p in self.snapshot(snapshot)["parts"]]
-        kind = "id string, path string, level int, entry_count long, size_bytes long, seq_min long, seq_max long, min_key string, max_key string, created_at_ms long"
-        names = [c.split()[0] for c in kind.split(", ")]
-        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kind)
-
+        """FILE_META of a snapshot, for the functions in operators.maintenance. Level 0 has a row a commit, as files of one are compacted together."""
+        return self._meta(self.snapshot(snapshot)["parts"])
+
+    def _meta(self, parts: list[dict]) -> DataFrame:
+        kind = "id string, level int, entry_count long, size_bytes long, seq_min long, seq_max long, min_key string, max_key string, created_at_ms long"
+        names, runs = [c.split()[0] for c in kind.split(", ")], {}
+        for p in parts:
+            runs.setdefault(p["path"].partition("/")[0] if p["level"] == 0 else p["id"], []).append(p)
+        fold = {"level": max, "entry_count": sum, "size_bytes": sum, "seq_min": min, "seq_max": max, "min_key": min, "max_key": max, "created_at_ms": min}
+        return self.spark.createDataFrame([(i, *(fold[n](p[n] for p in run) for n in names[1:])) for i, run in runs.items()], kind)
     # Writing
 
-    def append(self, changes: DataFrame, stream: tuple[str, int] | None = None, epoch: int | None = None, unique_ord: bool = False, tokens: bool = True, retries: int = 5) -> dict:
+    def append(self, changes: DataFrame, stream: tuple[str, int] | None = None, epoch: int | None = None, unique_ord: bool = False, tokens: bool = True, retries: int = 5, small: bool = False) -> dict:
         """Append changes of many records as one commit.
 
         ``changes`` has record_id, item_key, op, range_end, value, metadata, token (24 bytes or null), ord (long): the
-        order of arrival. Sequences go on where the snapshot's stopped, by ord inside each partition. With
-        ``unique_ord`` no two rows share an ord, and sequences are ord moved up: no sort, however large the batch.
-        Rows whose token was seen are skipped, unless ``tokens`` says that there are none. ``stream`` (name, batch)
-        makes a repeated batch a no-op.
+        order of arrival. Sequences go on where the snapshot's stopped, by ord. With ``unique_ord`` no two
+        rows of a key share an ord, and sequences are ord moved up: no sort, however large the batch. Rows whose token
+        was seen are skipped, unless ``tokens`` says that there are none. ``stream`` (name, batch) makes a repeated
+        batch a no-op. ``small`` says that the batch is one file.
         """
         self._allow(_WRITES)
         config = self.config
         for attempt in range(retries):
             base = self.snapshot()
-            if epoch is not None and base.get("epoch", 0) > epoch:
-                raise s.Conflict("a newer writer has begun")
+            self._fence(base, "epoch", epoch)
             if stream and base["streams"].get(stream[0], -1) >= stream[1]:
                 return base
-            if maintenance_status(len([p for p in base["parts"] if p["level"] == 0])) == "reject":
-                self.compact(full=False)
+            if maintenance_status(len({p["path"].partition("/")[0] for p in base["parts"] if p["level"] == 0})) == "reject":
+                self.compact_level(0)
                 base = self.snapshot()
-            part = self._write_part(self._numbered(changes, base, config, unique_ord, tokens), 0)
+            folder = self._claim()
+            rows, staged = self._numbered(changes, base, unique_ord, small)
+            if tokens:
+                rows = dedup.new_rows(rows, self._seen(base, config, changes if small else None))
+            parts = self._write_parts(rows, 0, folder, 1 if small else None)
+            let_go(*staged)
             streams = base["streams"] | ({stream[0]: stream[1]} if stream else {})
-            top = max(base["next_seq"], part["seq_max"] + 1) if part else base["next_seq"]
             try:
-                return self._commit(base, parts=base["parts"] + ([part] if part else []), next_seq=top, streams=streams)
+                new = self._commit(base, parts=base["parts"] + parts, next_seq=max([base["next_seq"], *(p["seq_max"] + 1 for p in parts)]), streams=streams)
+                self._end_claims([folder])
+                return new
             except s.Conflict:
-                if part:
-                    self.files.delete(f"{self.name}/data/{part['path']}")
+                self._end_claims([folder], delete=True)
                 if attempt + 1 == retries:
                     raise
         raise AssertionError
 
-    def _numbered(self, changes: DataFrame, base: dict, config: Config, unique_ord: bool, tokens: bool) -> DataFrame:
-        rows = changes.withColumn("partition_id", route(F.col("record_id"), config.partitions, config.routing))
+    def _numbered(self, changes: DataFrame, base: dict, unique_ord: bool, small: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+        """``changes`` as rows of the log, and the tables to let go once they are written."""
+        config, staged = self.config, []
         if unique_ord:
-            first = changes.agg(F.min("ord")).first()[0] or 0
-            seq = F.col("ord") + F.lit(base["next_seq"] - first)
+            first = 0 if small else changes.agg(F.min("ord")).first()[0] or 0
+            rows = changes.withColumn("seq", F.col("ord") + F.lit(base["next_seq"] - first))
         else:
-            seq = F.row_number().over(Window.partitionBy("partition_id").orderBy("ord")) + F.lit(base["next_seq"] - 1)
-        rows = rows.withColumn("seq", seq.cast("long"))
+            # In order of arrival over all tasks, ties anywhere; then each task goes on where the one before it
+            # stopped. One number a task comes to the driver, and no partition is numbered in one task.
+            n = F.monotonically_increasing_id()
+            by = ["ord", "record_id", "item_key", "_n"]
+            staged = [scratch(changes.withColumn("_n", n).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_n", n))]
+            task, place = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+            sizes, at, begin = staged[0].groupBy(task.alias("t")).agg(F.count("*").alias("c")).orderBy("t").collect(), base["next_seq"], []
+            for r in sizes:
+                begin.append((r["t"], at))
+                at += r["c"]
+            offsets = self.spark.createDataFrame(begin, "_t long, _begin long")
+            rows = staged[0].join(offsets, task == F.col("_t")).withColumn("seq", F.col("_begin") + place)
         now = int(time.time() * 1000)
-        rows = rows.select(F.lit(self.name).alias("namespace"), F.col("partition_id"), "record_id", "item_key", "op", "range_end", "value", F.coalesce("metadata", F.lit(b"")).alias("metadata"), "token", "seq", F.lit(now).cast("long").alias("created_at_ms"))
-        if not tokens:
-            return rows
-        seen = self.log()
+        partition = route(F.col("record_id"), config.partitions, config.routing).alias("partition_id")
+        kept = rows.select(F.lit(self.name).alias("namespace"), partition, "record_id", "item_key", "op", "range_end", "value", F.coalesce("metadata", F.lit(b"")).alias("metadata"), "token", F.col("seq").cast("long").alias("seq"), F.lit(now).cast("long").alias("created_at_ms"))
+        return kept, staged
+
+    def _seen(self, base: dict, config: Config, asked: DataFrame | None = None) -> DataFrame:
+        """(namespace, partition_id, token) of the writes that are remembered.
+
+        Only the token column of files that were not compacted is read, and the token files of those that were. With
+        ``asked``, a small batch, its few tokens go to the scan, whose files and row groups have bloom filters.
+        """
+        fresh = self._open([p for p in base["parts"] if p["level"] == 0 and p["tokens"]])
+        old = self._open(base.get("tokens", []))
+        seen = kernel.merge(*[x.select("namespace", "partition_id", "token", "created_at_ms") for x in (fresh, old)]).where(F.col("token").isNotNull())
         if config.token_retention_ms is not None:
-            seen = seen.where(F.col("created_at_ms") >= now - config.token_retention_ms)
-        return dedup.new_rows(rows, seen.where(F.col("token").isNotNull()))
+            seen = seen.where(F.col("created_at_ms") >= int(time.time() * 1000) - config.token_retention_ms)
+        if asked is not None:
+            tokens = [r["token"] for r in asked.select("token").where("token IS NOT NULL").collect()]
+            seen = seen.where(F.col("token").isin([bytes(t) for t in tokens]))
+        return seen
 
     def put(self, record_id: str, items: Sequence[tuple], token: bytes | None = None, generation_time: int = 0, strict: bool = False) -> tuple[int, int, int]:
         """Insert or update ``items`` (key, value[, metadata]) of one record; of a repeated key the last wins.
@@ -307,8 +420,9 @@ class Namespace:
         own = F.lit(None).cast("binary") if token is None else derived_token(F.lit(random_token(generation_time, token)), F.col("ord"))
         changes = df.select(F.lit(record_id).alias("record_id"), "item_key", F.lit(s.PUT).alias("op"), F.lit(None).cast("binary").alias("range_end"), "value", "metadata", own.alias("token"), "ord")
         if strict and token is not None:
-            dedup.refuse_repeated(self._numbered(changes, self.snapshot(), self.config, True, False), self.log().where(F.col("token").isNotNull()))
-        self.append(changes, unique_ord=True, tokens=token is not None)
+            base = self.snapshot()
+            dedup.refuse_repeated(self._numbered(changes, base, True, True)[0], self._seen(base, self.config, changes))
+        self.append(changes, unique_ord=True, tokens=token is not None, small=True)
         return self.store.clock.next()
 
     def put_many(self, rows: DataFrame) -> tuple[int, int, int]:
@@ -322,7 +436,7 @@ class Namespace:
         s.check_record_id(record_id)
         df = self.spark.createDataFrame([(k, op, a, b) for k, (op, a, b) in enumerate(rows)], "ord long, op string, item_key binary, range_end binary")
         none = F.lit(None).cast("binary")
-        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", "op", "range_end", F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), "ord"), unique_ord=True, tokens=False)
+        self.append(df.select(F.lit(record_id).alias("record_id"), "item_key", "op", "range_end", F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), "ord"), unique_ord=True, tokens=False, small=True)
         return self.store.clock.next()
 
     def delete_keys(self, record_id: str, keys: Sequence[bytes]) -> tuple[int, int, int]:
@@ -342,9 +456,7 @@ class Namespace:
         self._allow(_READS)
         s.check_record_id(record_id)
         config = self.config
-        # A literal, so that the scan prunes folders.
-        partition = route_one(record_id, config.partitions, config.routing)
-        return self.log(snapshot, partition=partition).where(F.col("record_id") == record_id)
+        return self.log(snapshot, record=(route_one(record_id, config.partitions, config.routing), record_id))
 
     def get_keys(self, record_id: str, keys: Sequence[bytes], exclude_values: bool = False, snapshot: int | None = None) -> list:
         """Items in the order asked; repeated as asked, misses left out; never paged."""
@@ -364,10 +476,8 @@ class Namespace:
             items = items.where(F.col("item_key") > F.lit(PageToken.decode(selection.page_token).last_key))
         config = self.config
         budget = s.page_bytes(selection.page_size_bytes, config.default_page_bytes, config.max_page_bytes)
-        page = paging.first_page(items, budget, selection.item_limit or None).orderBy("item_key").collect()
-        token = None
-        if page and not items.where(F.col("item_key") > F.lit(bytes(page[-1]["item_key"]))).isEmpty():
-            token = PageToken(bytes(page[-1]["item_key"]), page[-1]["seq"], None).encode()
+        page, more = paging.one_page(items, budget, selection.item_limit or None, len(record_id.encode()))
+        token = PageToken(bytes(page[-1]["item_key"]), page[-1]["seq"], None).encode() if more else None
         if selection.exclude_values:
             page = [type(r)(**(r.asDict() | {"value": b""})) for r in page]
         return Page(page, token)
@@ -421,51 +531,125 @@ class Namespace:
         none = F.lit(None).cast("binary")
         op = F.when(F.col("item_key").isNull(), s.RANGE_DELETE).otherwise(s.DELETE)
         key = F.coalesce("item_key", F.lit(b""))
-        self.append(rows.select("record_id", key.alias("item_key"), op.alias("op"), none.alias("range_end"), F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), F.lit(0).cast("long").alias("ord")), tokens=False)
+        self.append(rows.select("record_id", key.alias("item_key"), op.alias("op"), none.alias("range_end"), F.lit(b"").alias("value"), F.lit(b"").alias("metadata"), none.alias("token"), F.lit(0).cast("long").alias("ord")), unique_ord=True, tokens=False)
         return self.store.clock.next()
 
     # Maintenance
 
-    def compact(self, full: bool = True, retries: int = 5) -> dict:
-        """Rewrite the log as its shortest equivalent; a full one may drop old deletes, see kernel.compact."""
+    def compact(self, full: bool = True, compactor: int | None = None, retries: int = 5) -> dict:
+        """Rewrite the whole log as its shortest equivalent at the bottom level; if not ``full``, what is due at level 0.
+
+        A full one drops the deletes that are old enough, see kernel.compact.
+        """
+        if not full:
+            return self.compact_level(0, compactor, retries)
+        return self._compact(lambda parts: (parts, s.BOTTOM_LEVEL), compactor, retries)
+
+    def compact_level(self, level: int, compactor: int | None = None, retries: int = 5, inputs: set[str] | None = None) -> dict:
+        """Merge a level's sources (all of level 0, else its oldest file) with what they overlap in the next level.
+
+        One file that overlaps nothing only changes its label. ``inputs`` are ids that were chosen already; they
+        are chosen anew if one of them is gone.
+        """
+
+        def choose(parts: list[dict]) -> tuple[list[dict], int]:
+            run = lambda p: p["path"].partition("/")[0] if p["level"] == 0 else p["id"]
+            ids = inputs
+            if ids is None or not ids <= {run(p) for p in parts}:
+                limits = [-1 if k == level else 1 << 62 for k in range(3)]
+                ids = {r["id"] for r in maintenance.compaction_inputs(self._meta(parts), *limits).collect()}
+            return [p for p in parts if run(p) in ids], level + 1
+
+        return self._compact(choose, compactor, retries)
+
+    def _compact(self, choose, compactor: int | None, retries: int) -> dict:
+        config = self.config
         for attempt in range(retries):
             base = self.snapshot()
-            chosen = base["parts"] if full else [p for p in base["parts"] if p["level"] == 0]
+            self._fence(base, "compactor", compactor)
+            chosen, target = choose(base["parts"]) if base["parts"] else ([], 0)
             if not chosen:
                 return base
-            rows = kernel.merge(*[self.spark.read.schema(s.MUTATION_LOG).parquet(self.files.url(f"{self.name}/data/{p['path']}")) for p in chosen]).select(s.MUTATION_LOG.names)
-            whole = len(chosen) == len(base["parts"])
-            before = int(time.time() * 1000) - self.config.tombstone_ttl_ms if self.config.tombstone_ttl_ms else None
-            level = s.BOTTOM_LEVEL if whole and full else 1
-            part = self._write_part(kernel.compact(rows, full=whole and full, drop_before_ms=before), level)
-            gone = {p["id"] for p in chosen}
+            gone, claims, tokens = {p["id"] for p in chosen}, [], base.get("tokens", [])
+            rest = [p for p in base["parts"] if p["id"] not in gone]
+            fresh = [p for p in chosen if p["level"] == 0 and p["tokens"]]
+            if len(chosen) == 1 and 0 < chosen[0]["level"] < target < s.BOTTOM_LEVEL:  # maintenance.trivial_moves
+                parts = [chosen[0] | {"level": target}]
+            else:
+                rows, size = self._open(chosen), sum(p["size_bytes"] for p in chosen)
+                # Deletes go only where no other file holds what they could cover.
+                low, high = min(p["min_key"] for p in chosen), max(p["max_key"] for p in chosen)
+                alone = target >= s.BOTTOM_LEVEL and not any(p["min_key"] <= high and p["max_key"] >= low for p in rest)
+                before = int(time.time() * 1000) - config.tombstone_ttl_ms if config.tombstone_ttl_ms else None
+                claims.append(self._claim())
+                parts = self._write_parts(kernel.compact(rows, full=alone, drop_before_ms=before), target, claims[-1], -(-size // config.file_bytes))
+            if fresh:
+                claims.append(self._claim())
+                tokens = self._merged_tokens(fresh, tokens, config, claims[-1])
             try:
-                return self._commit(base, parts=[p for p in base["parts"] if p["id"] not in gone] + ([part] if part else []))
+                new = self._commit(base, parts=rest + parts, tokens=tokens)
+                self._end_claims(claims)
+                return new
             except s.Conflict:
-                if part:
-                    self.files.delete(f"{self.name}/data/{part['path']}")
+                self._end_claims(claims, delete=True)
                 if attempt + 1 == retries:
                     raise
         raise AssertionError
 
-    def maintain(self) -> list[str]:
-        """One turn of upkeep: what is due is done; returns what was."""
-        done = []
-        due = {r["level"] for r in maintenance.compaction_inputs(self.file_meta()).select("level").distinct().collect()}
-        if due:
-            self.compact(full=due != {0})
-            done.append("compact")
+    def _merged_tokens(self, fresh: list[dict], tokens: list[dict], config: Config, folder: str) -> list[dict]:
+        """Token files with those of ``fresh`` added; what the retention has ended goes. Files that have grown are left as they are."""
+        oldest = int(time.time() * 1000) - config.token_retention_ms if config.token_retention_ms is not None else None
+        live = [p for p in tokens if oldest is None or p["newest_ms"] >= oldest]
+        small = [p for p in live if p["size_bytes"] < config.file_bytes // 2]
+        rows = self._open(fresh + small).where(F.col("token").isNotNull())
+        if oldest is not None:
+            rows = rows.where(F.col("created_at_ms") >= oldest)
+        key = ["namespace", "partition_id", "record_id", "token"]
+        once = rows.groupBy(*key).agg(F.min("seq").alias("seq"), F.max("created_at_ms").alias("created_at_ms"))
+        none = F.lit(None).cast("binary")
+        once = once.select("namespace", "partition_id", "record_id", F.lit(b"").alias("item_key"), F.lit(s.PUT).alias("op"), none.alias("range_end"), none.alias("value"), none.alias("metadata"), "token", "seq", "created_at_ms")
+        size = sum(p["size_bytes"] for p in fresh + small)
+        written = self._write_parts(once, 0, folder, -(-size // config.file_bytes))
+        now = int(time.time() * 1000)
+        return [p for p in live if p not in small] + [p | {"newest_ms": now} for p in written]
+
+    def maintain(self, compactor: int | None = None) -> list[str]:
+        """One turn of upkeep: each level that is due gives what is due to the next; returns what was done."""
+        done, config = [], self.config
+        due: dict[int, set[str]] = {}
+        for r in maintenance.compaction_inputs(self.file_meta(), config.l0_commits, config.l1_bytes, config.l2_bytes).collect():
+            due.setdefault(r["level"], set()).add(r["id"])
+        for level in sorted(due):
+            self.compact_level(level, compactor, inputs=due[level])
+            done.append(f"compact {level}")
         if len(self.snapshot_ids()) > s.MANIFESTS_KEPT:
             done += [f"vacuum {n}" for n in self.vacuum(s.MANIFESTS_KEPT)]
         return done
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete all but the newest ``keep`` snapshots, and data that none of those lists."""
+        """Delete all but the newest ``keep`` snapshots, and data that none of those lists and no writer has claimed.
+
+        Claims older than the grace period are taken first, and a commit then makes the late writer's own fail: its
+        data can go. Folders are listed before claims, and claims before snapshots, so that a folder
+        that is claimed, written and committed meanwhile is seen by one of them.
+        """
+        keep = max(1, keep)
+        pending = f"{self.name}/pending"
+        late = [c for c in self.files.list(pending) if self.files.get_json(f"{pending}/{c}")["since_ms"] <= int(time.time() * 1000) - self.config.grace_ms]
+        for c in late:
+            self.files.delete(f"{pending}/{c}")
+        while late:
+            try:
+                self._commit(self.snapshot())
+                break
+            except s.Conflict:
+                continue
+        folders, claimed = self.files.list(f"{self.name}/data"), set(self.files.list(pending))
         ids = sorted(self.snapshot_ids())
+        used = {p["path"].partition("/")[0] for n in ids[-keep:] for k in ("parts", "tokens") for p in self.snapshot(n).get(k, [])}
         for n in ids[: max(0, len(ids) - keep)]:
             self.files.delete(f"{self.name}/snapshots/{n:020d}.json")
-        used = {p["path"] for n in ids[-keep:] for p in self.snapshot(n)["parts"]}
-        gone = [d for d in self.files.list(f"{self.name}/data") if d not in used]
+        gone = [d for d in folders if d not in used and d not in claimed]
         for d in gone:
             self.files.delete(f"{self.name}/data/{d}")
         return gone

@@ -190,3 +190,132 @@ def test_clock_and_tokens():
         assert PageToken.decode(t.encode()) == t and PageToken.from_text(t.text()) == t
     with pytest.raises(InvalidArgument):
         PageToken.from_text("%%")
+
+
+def test_tokens_outlive_compaction(ns):
+    a, b = b"a" * 16, b"b" * 16
+    ns.put("r", [(b"k", b"A")], a)
+    ns.put("r", [(b"k", b"B")], b)
+    ns.compact()
+    ns.put("r", [(b"k", b"A")], a)
+    assert bytes(ns.get_keys("r", [b"k"])[0].value) == b"B"
+    ns.compact()
+    assert [p["level"] for p in ns.snapshot()["parts"]] == [3] and len(ns.snapshot()["tokens"]) == 1
+    assert ns.log().where("token IS NOT NULL").count() <= 1  # the log does not carry them
+    ns.vacuum(1)
+    with pytest.raises(AlreadyExists):
+        ns.put("r", [(b"k", b"A")], a, strict=True)
+    ns.store.update_namespace(Config("n", partitions=2, token_retention_ms=0))
+    ns.put("r", [(b"k", b"again")], a)
+    assert bytes(ns.get_keys("r", [b"k"])[0].value) == b"again"
+
+
+def during_commit(ns, act):
+    """``act`` between a writer's data and its commit."""
+    commit = ns._commit
+
+    def late(base, **changes):
+        ns._commit = commit
+        act()
+        return commit(base, **changes)
+
+    ns._commit = late
+
+
+def test_vacuum_leaves_claimed_data(ns):
+    ns.put("r", [(b"k", b"1")])
+    during_commit(ns, lambda: ns.vacuum(1))
+    ns.put("r", [(b"k", b"2")])
+    assert bytes(ns.get_keys("r", [b"k"])[0].value) == b"2" and ns.files.list("n/pending") == []
+
+
+def test_commit_of_a_writer_past_its_grace_fails_and_is_written_again(ns):
+    ns.put("r", [(b"k", b"1")])
+    ns.store.update_namespace(Config("n", partitions=2, grace_ms=0))
+    gone = []
+    during_commit(ns, lambda: gone.extend(ns.vacuum(1)))
+    ns.put("r", [(b"k", b"2")])
+    assert len(gone) == 1 and bytes(ns.get_keys("r", [b"k"])[0].value) == b"2"
+    assert ns.items().count() == 1
+    ns.files.create("n/pending/dead", b'{"since_ms": 0}')
+    ns.spark.range(1).write.parquet(ns.files.url("n/data/dead"))
+    assert "dead" in ns.vacuum(1) and ns.files.list("n/pending") == []
+
+
+def test_older_compactors_are_refused(ns):
+    ns.put("r", [(b"k", b"1")])
+    first, second = ns.begin_compactor(), ns.begin_compactor()
+    for call in (ns.compact, lambda compactor: ns.compact_level(0, compactor)):
+        with pytest.raises(Conflict):
+            call(compactor=first)
+    ns.compact(compactor=second)
+    assert [p["level"] for p in ns.snapshot()["parts"]] == [3]
+
+
+def test_levels(spark, store):
+    """Files go down a level at a time, one at a time, and reads never change."""
+    ns = store.create_namespace(Config("l", partitions=2, l0_commits=1, l1_bytes=7000, l2_bytes=8000, file_bytes=7000))
+    want, seen, written = {}, set(), []
+    for k in range(5):
+        rows = {b"%04d" % ((k * 37 + i * 11) % 500): b"%d-%d" % (k, i) for i in range(120)}
+        ns.append(spark.createDataFrame([("r%d" % (int(key) % 3), key, "PUT", None, value, b"", None, i) for i, (key, value) in enumerate(rows.items())], "record_id string, item_key binary, op string, range_end binary, value binary, metadata binary, token binary, ord long"), unique_ord=True, tokens=False)
+        want.update(rows)
+        if k == 3:
+            ns.delete_range("r1", b"0100", b"0200", True)
+            want = {a: b for a, b in want.items() if not (int(a) % 3 == 1 and b"0100" <= a < b"0200")}
+        before = {p["path"] for p in ns.snapshot()["parts"]}
+        ns.maintain()
+        parts = ns.snapshot()["parts"]
+        written.append(len({p["path"] for p in parts} & before))
+        seen |= {p["level"] for p in parts}
+        for level in (1, 2, 3) if k < 3 else ():  # no two files of a level overlap, but for what a range delete covers
+            ranges = sorted((p["min_key"], p["max_key"]) for p in parts if p["level"] == level)
+            assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+        assert {bytes(r.item_key): bytes(r.value) for r in ns.items().collect()} == want
+    assert seen >= {1, 2, 3} and any(written)  # some upkeep left files as they were
+
+
+def test_one_record_is_read_from_its_own_files(spark, store):
+    ns = store.create_namespace(Config("p", partitions=1, file_bytes=2000))
+    ns.put_many(workload.products(spark, 60))
+    ns.compact()
+    parts = ns.snapshot()["parts"]
+    frame = ns._record("product:000007")
+    assert len(parts) > 2 and len(frame.inputFiles()) < len(parts)
+    assert sorted(keys(ns.get_all("product:000007").items)) == sorted(bytes(r.item_key) for r in ns.items().where("record_id = 'product:000007'").collect())
+
+
+def test_bulk_order_of_arrival(spark, ns):
+    """Of a key that comes many times the greatest ord wins, whatever task it is in; without ord, one of them."""
+    rows = spark.range(2000).selectExpr("concat('r', id % 3) AS record_id", "cast(cast(id % 7 AS string) AS binary) AS item_key", "cast(cast(id AS string) AS binary) AS value", "2000 - id AS ord")
+    ns.put_many(rows.repartition(5))
+    want = {(f"r{i % 3}", b"%d" % (i % 7)): b"%d" % i for i in reversed(range(2000))}
+    assert {(r.record_id, bytes(r.item_key)): bytes(r.value) for r in ns.items().collect()} == want
+    log = ns.log()
+    assert log.select("seq").distinct().count() == log.count() == 2000 and ns.snapshot()["next_seq"] == 2001
+    ns.put_many(rows.drop("ord"))
+    assert ns.items().count() == 21 and ns.snapshot()["next_seq"] == 4001
+
+
+def test_configuration_is_never_away(ns):
+    """A crash between two versions leaves the old one; a repeated update from one version is refused."""
+    files = ns.files
+    n, value = files.newest("n/config")
+    files.advance("n/config", n, value | {"tombstone_ttl_ms": 9}, keep=2)
+    with pytest.raises(Conflict):
+        files.advance("n/config", n, value)
+    assert ns.config.tombstone_ttl_ms == 9
+    ns.store.delete_namespace("n")
+    with pytest.raises(NotFound):
+        ns.config
+    assert ns.store.create_namespace(Config("n", partitions=4)).config.partitions == 4
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lodestore.sources.shared import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
