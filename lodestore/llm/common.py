@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestore.sources.shared import shared_dir
+from lodestore.sources.shared import clear_scratch, let_go, scratch, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy pass handles at a time; bounds a worker's memory.
 SLICE_BYTES = 1 << 20
@@ -21,27 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_written: list[str] = []
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process, once their results have been written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` with ``fn`` applied to slices of at most about ``SLICE_BYTES`` of data each (or one row).
 
