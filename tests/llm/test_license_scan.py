@@ -31,14 +31,14 @@ def scan(spark, texts):
 
 
 def test_templates_are_found_by_method(spark):
-    texts = ["word " * 300 + body + " word" * 300 for body, _ in TEMPLATES.values()]
-    for label, r in zip(TEMPLATES, scan(spark, texts)):
+    texts = ["word " * 300 + body + " word" * 300 for _, body, _ in TEMPLATES]
+    for (label, _, _), r in zip(TEMPLATES, scan(spark, texts)):
         assert label in r.labels.split(","), label
         assert r.labels.split(",") == sorted({label, *filter(None, r.base_labels.split(","))}), r
 
 
 def test_edited_reordered_and_partial(spark):
-    isc = TEMPLATES["isc"][0]
+    isc = next(body for label, body, _ in TEMPLATES if label == "isc")
     words = isc.split()
     edited = " ".join(w for k, w in enumerate(words) if k not in (3, 30))
     shuffled = " ".join(sorted(words))
@@ -50,7 +50,7 @@ def test_edited_reordered_and_partial(spark):
 
 def test_every_notice_of_a_file_is_found(spark):
     """Notices do not take each other's places, and neither do stray licence words of a long file."""
-    bodies = {label: body for label, (body, _) in TEMPLATES.items()}
+    bodies = {label: body for label, body, _ in TEMPLATES}
     pairs = [(a, b) for a in bodies for b in bodies if a < b]
     stray = " ".join(sorted(set(" ".join(b for x, b in bodies.items() if x != "mpl").split())))
     texts = [" ".join(bodies.values()), f"{stray} {'word ' * 300} {bodies['mpl']}", *(f"{bodies[a]} and {bodies[b]}" for a, b in pairs)]
@@ -67,7 +67,7 @@ def test_sql_follows_the_method(spark):
 
     from lodestore.llm.license_scan import SQL
 
-    bodies = [body for body, _ in TEMPLATES.values()]
+    bodies = [body for _, body, _ in TEMPLATES]
     texts = [*bodies, *("x " * 7 + b.replace(" the ", " ") for b in bodies), *(" ".join(b.split()[k::2]) for b in bodies for k in (0, 1)), *(" ".join(b.split()[9:]) for b in bodies), " ".join(bodies), "mit license apache license cc by", "", None]
     texts += [a + " and " + b for a in bodies for b in bodies] + [f"thing{i} of the and to" for i in range(50)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -87,3 +87,20 @@ def test_odd_rows(spark):
     got = sorted((tuple(r[:6]) for r in scan_licenses(docs).collect()), key=str)
     assert got == sorted([(i, *brute(t)) for i, t in rows], key=str)
     assert scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_whole_licence_texts_as_templates(spark):
+    """Templates of thousands of words, all in one file, between stray words of each other."""
+    from pathlib import Path
+
+    from lodestore.llm.license_scan import Index
+
+    folder = Path("/usr/share/common-licenses")
+    titles = {"GPL-3": "gnu general public license", "LGPL-2.1": "gnu lesser general public license", "Apache-2.0": "apache license", "MPL-2.0": "mozilla public license"}
+    have = {n: (folder / n).read_text() for n in titles if (folder / n).exists()}
+    have |= {f"made-{k}": " ".join(f"clause{i * 7 % 900}x{k} {'of the and this'.split()[i % 4]}" for i in range(900)) for k in range(3)}
+    index = Index([(n, t, [titles.get(n, f"clause0x{n[-1]} of")]) for n, t in have.items()])
+    docs = spark.createDataFrame([(0, "\n".join(have.values())), *((k + 1, f"before {t} after") for k, t in enumerate(have.values())), (99, "the of and this clause")], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in scan_licenses(docs, index=index).collect()}
+    assert set(have) <= got[0] and not set(have) & got[99]
+    assert all(n in got[k + 1] for k, n in enumerate(have))
