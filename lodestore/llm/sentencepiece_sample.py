@@ -151,6 +151,8 @@ class Lattice:
         place = np.arange(int(kind_size.sum())) - np.repeat(kind_at, kind_size)
         self.cp = self.chars[np.repeat(self.word_at[first], kind_size) + place]
         self.left = (np.repeat(kind_size, kind_size) - place).astype(np.int32)  # characters to the word's end
+        hits = self._edges()
+        self._cut(hits)
         # States are numbered from words' ends to their beginnings, so that those of one distance lie together.
         key = self.left.astype(np.uint16) if len(self.left) and self.left.max() < 1 << 16 else self.left
         self.order = np.argsort(key, kind="stable")
@@ -159,11 +161,30 @@ class Lattice:
         sorted_left = self.left[self.order]
         cuts = np.searchsorted(sorted_left, np.arange(1, (int(sorted_left[-1]) if len(sorted_left) else 0) + 2))
         self.by_left = [(r + 1, int(a), int(b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        self.state = self.rank[np.arange(n, dtype=np.int32) + np.repeat((kind_at[kind] - self.word_at).astype(np.int32), size)]  # of each character
-        self._edges()
+        at = np.arange(n, dtype=np.int32) + np.repeat((kind_at[kind] - self.word_at).astype(np.int32), size)
+        self.state = self.rank[at]  # of each character
+        if n:  # from here on a word is what lies between two cuts
+            self.word_end = np.flatnonzero(self.left[at] == 1) + 1
+            self.word_at = np.concatenate([[0], self.word_end[:-1]])
+        self._weigh_edges(hits)
 
-    def _edges(self) -> None:
-        """Pieces that begin at each state, by length, and their log weights."""
+    def _cut(self, hits: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Words are cut where no piece goes over: what lies behind a cut weighs alike for all that comes before it.
+
+        ``left`` then counts to the next cut, so that texts without spaces are not gone through character by character.
+        """
+        n = len(self.cp)
+        over = np.zeros(n + 2, dtype=np.int32)  # pieces that begin before a place and end behind it
+        for k, (states, ids) in enumerate(hits):
+            if k:
+                at = states[ids >= 0]
+                over += np.bincount(at + 1, minlength=n + 2) - np.bincount(at + k + 1, minlength=n + 2)
+        free = np.cumsum(over)[1 : n + 1] == 0  # whether the word may be cut behind each place
+        ends = np.flatnonzero(free)
+        self.left = (ends[np.searchsorted(ends, np.arange(n))] + 1 - np.arange(n)).astype(np.int32) if n else self.left
+
+    def _edges(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pieces by length: the places where they begin, and their ids, or -1 where one of that length only goes on."""
         v, n = self.v, len(self.cp)
         states, h, hits = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.uint64), []
         while len(states):
@@ -175,6 +196,11 @@ class Lattice:
             hits.append((states, ids))
             go = np.flatnonzero(self.left[states] > k + 1)
             states, h = states[go], h[go]
+        return hits
+
+    def _weigh_edges(self, hits: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Pieces that begin at each state, by length, and their log weights."""
+        v, n = self.v, len(self.cp)
         self.width = max([1, *(k + 1 for k, (_, ids) in enumerate(hits) if (ids >= 0).any())])
         self.ids = np.full((n, self.width), -1, dtype=np.int32)
         for k, (states, ids) in enumerate(hits[: self.width]):
@@ -400,7 +426,10 @@ def sample_slice(all_texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary
     threshold = {d: score[draw + 1, d] for draw in range(k) for d, _, _ in found[draw]}  # of the last draw of each text
     for draw in range(k):
         for d, ids, log_p in found[draw]:
-            out[d].append((ids, log_p, _log_inclusion(log_p - threshold[d])))
+            q = _log_inclusion(log_p - threshold[d])
+            if not np.isfinite(log_p + q):
+                raise FloatingPointError(f"text {d} of the slice has a score of {log_p}, {q}")
+            out[d].append((ids, log_p, q))
     return out
 
 
@@ -472,8 +501,9 @@ def _open(lat, heaps, live, first, last, cum, run, tokens, state, length, bound,
 
 
 def row_seeds(ids: list, seed: int) -> np.ndarray:
-    keys = np.array([i if i is not None else -1 for i in ids], dtype=np.int64).astype(np.uint64)
-    return wordkit.mix(wordkit.mix(keys + _U(0x9E3779B97F4A7C15)) ^ _U(seed & 0xFFFFFFFFFFFFFFFF))
+    keys = np.array([i if i is not None else 0 for i in ids], dtype=np.int64).astype(np.uint64)
+    out = wordkit.mix(wordkit.mix(keys + _U(0x9E3779B97F4A7C15)) ^ _U(seed & 0xFFFFFFFFFFFFFFFF))
+    return np.where([i is None for i in ids], ~wordkit.mix(out), out) if None in ids else out
 
 
 def encode_slice(all_texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
@@ -487,7 +517,11 @@ def encode_slice(all_texts: list[str], vocabulary: Vocabulary) -> list[np.ndarra
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """(doc_id, ids): the likeliest segmentation of each row's text, as packed little-endian 32-bit ids."""
+    """(doc_id, ids): the likeliest segmentation of each row's text, as packed little-endian 32-bit ids; ties go to the shorter first piece.
+
+    One row for each row of ``docs``, repeated rows included and alike. A null or empty text has empty ids; a null
+    id stays null; an empty table gives no rows. Other columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -498,7 +532,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """(doc_id, text) from packed ids; null ids are an empty text."""
+    """(doc_id, text) from packed ids: one row for each row of ``encoded``, repeated rows included and alike.
+
+    Null or empty ids are an empty text; a null id of a row stays null; an empty table gives no rows. Other
+    columns are not looked at.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 

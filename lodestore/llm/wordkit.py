@@ -7,6 +7,7 @@ word hashes, so the cost is a few nanoseconds a byte without a Python loop over
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ NON_ALNUM = np.ones(256, dtype=bool)
 NON_ALNUM[0x30:0x3A] = NON_ALNUM[0x61:0x7B] = NON_ALNUM[0x80:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+#: Spans of more bytes are hashed one by one: all others step together, eight bytes at a time.
+_LONG_SPAN = 2048
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
@@ -83,7 +86,9 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     lanes = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     size = end - start
     h = mix(size.astype(np.uint64) * _M1 ^ (lanes[start] & _MASK[np.minimum(size, 8)]))
-    left, done = np.flatnonzero(size > 8), 8
+    for k in np.flatnonzero(size > _LONG_SPAN).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    left, done = np.flatnonzero((size > 8) & (size <= _LONG_SPAN)), 8
     while len(left):
         rest = size[left] - done
         h[left] = mix(h[left] * _M1 + (lanes[start[left] + done] & _MASK[np.minimum(rest, 8)]))

@@ -139,6 +139,68 @@ def test_unspaced_and_unknown_characters(vocabulary):
         assert [(a.tolist(), b, c) for a, b, c in alone] == [(a.tolist(), b, c) for a, b, c in rows]
 
 
+def log_mass(text, v):
+    """The log of the summed weights of all segmentations, by a plain recursion over places."""
+    chars = " " + text
+    by_text = {p.replace("▁", " "): i for i, p in enumerate(v.pieces) if v.usable[i]}
+    begins = {i for i in range(1, len(chars)) if chars[i] == " " and chars[i - 1] != " " or chars[i] == "\n" or chars[i - 1] == "\n"}
+    mass = [0.0] * (len(chars) + 1)
+    for i in reversed(range(len(chars))):
+        logs = []
+        for j in range(i + 1, min(len(chars), i + v.longest) + 1):
+            if j - 1 in begins and j - 1 > i:
+                break
+            if chars[i:j] in by_text:
+                logs.append(v.weights[by_text[chars[i:j]]] + mass[j])
+            elif j == i + 1:
+                logs.append(len(chars[i].encode()) * v.weights[v.byte_ids[0]] + mass[j])
+        top = max(logs)
+        mass[i] = top + math.log(math.fsum(math.exp(x - top) for x in logs))
+    return mass[0]
+
+
+def weight(ids, v):
+    return math.fsum(v.weights[i] if v.usable[i] else v.weights[v.byte_ids[0]] for i in ids.tolist())
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 25, 63, 64, 99, 100, 101, 250, 500])
+def test_words_of_bytes_alone_equal_brute_force(vocabulary, n):
+    """Characters without pieces, alone and among pieces, before and behind ordinary texts of the slice."""
+    texts = ["hello there", "\U0001faa9" * n, "\u9f98" * n, "a\U0001faa9b" * n, ("\u9f98\u9750the" * n)[:n], "hello there"]
+    seeds = s.row_seeds([1, 2, 3, 4, 5, 1], 0)
+    found = s.sample_slice(texts, seeds, vocabulary)
+    for k, (t, rows) in enumerate(zip(texts, found)):
+        want = log_mass(t, vocabulary)
+        assert rows and all(np.isfinite([p, q]).all() and q <= 0 for _, p, q in rows)
+        assert all(abs(p - (weight(ids, vocabulary) - want)) < 1e-3 * (1 + len(t)) ** 0.5 for ids, p, _ in rows), t
+        alone = s.sample_slice([t], seeds[k : k + 1], vocabulary)[0]
+        assert [(a.tolist(), b, c) for a, b, c in alone] == [(a.tolist(), b, c) for a, b, c in rows]
+    assert [a.tolist() for a, _, _ in found[0]] == [a.tolist() for a, _, _ in found[5]]
+
+
+def test_texts_without_spaces_take_about_as_long(vocabulary):
+    from time import perf_counter
+
+    rng = np.random.default_rng(5)
+    unspaced = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 32000))
+    spaced = " ".join(unspaced[k : k + 5] for k in range(0, len(unspaced), 5))
+
+    def seconds(t):
+        best = 1e9
+        for _ in range(3):
+            start = perf_counter()
+            s.sample_slice([t], s.row_seeds([1], 0), vocabulary)
+            best = min(best, perf_counter() - start)
+        return best
+
+    assert seconds(unspaced) < 5 * seconds(spaced)
+
+
+def test_a_null_id_has_its_own_seed():
+    seeds = s.row_seeds([None, -1, 0, 1, None], 7)
+    assert seeds[0] == seeds[4] and len(set(seeds.tolist())) == 4
+
+
 def test_query_round_trips(spark, sf_dir):
     rows = s.op3_sentencepiece(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
