@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lodestore.llm.html_extract import extract, main_text, op10_html_extract, template_candidates
+from lodestore.llm.html_extract import candidates, extract, main_text, op10_html_extract, template_candidates
 
 
 def plain(page):
@@ -94,3 +94,53 @@ def test_odd_rows(spark):
     got = sorted([(r.page_id, r.url, r.text) for r in extract(pages).collect()], key=str)
     assert got == sorted([(1, "https://a/x", ""), (2, None, ""), (None, "odd", "x"), (3, "https://a/x", "y"), (3, "https://a/x", "y"), (4, "https://a/z", ("é " * 200000).strip())], key=str)
     assert extract(pages.limit(0)).collect() == []
+
+
+def test_counts_are_reported_and_bounds_are_parameters(spark):
+    """Unmarked boilerplate outside of articles is deleted and counted; a shared sentence inside stays."""
+    line, tip = "<p>This sentence is on every page.</p>", "<div>Tip of the day</div>"
+    rows = [(i, f"https://a.example/{i}", f"{tip}<article>{line}<p>Story {i}.</p></article><div>Join {i % 2}</div>") for i in range(10)]
+    rows += [(100 + i, f"https://b.example/{i}", f"{tip}<p>Story {i}.</p>") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_templates) for r in extract(pages).collect()}
+    assert all(got[i] == (f"This sentence is on every page.\nStory {i}.", 2) for i in range(10))
+    assert all(got[100 + i] == (f"Tip of the day\nStory {i}.", 0) for i in range(3))
+    got = {r.page_id: (r.text, r.n_templates) for r in extract(pages, min_pages=3).collect()}
+    assert all(got[100 + i] == (f"Story {i}.", 1) for i in range(3))
+
+
+def test_names_are_a_second_step():
+    page = '<article><p>a</p><div class="share">b</div><p style="display:none">c</p><nav>d</nav></article>'
+    assert main_text(page) == "a\nc" and main_text(page, names=None) == "a\nb\nc"
+
+
+def test_broken_pages_take_linear_time():
+    """A megabyte of each kind of breakage, as whole pages."""
+    from time import perf_counter
+
+    n = 1 << 20
+    kinds = {
+        "open quotes": '<a "' * (n // 4),
+        "open quotes and an end": '<a "' * (n // 4) + ">",
+        "odd quotes": "<a '>\"<b \">" * (n // 10),
+        "nested blocks": "<div>" * (n // 5),
+        "nested articles": "<article>x" * (n // 10),
+        "unmatched ends": "<b>" * (n // 7) + "</i>" * (n // 7),
+        "blocks deep in a paragraph": "<p><div>" + "<b>" * (n // 12) + "<h1></h1>" * (n // 12),
+        "list items": "<ul>" + "<li><b>" * (n // 7),
+        "lone brackets": "<" * n,
+        "comments": "<!--" * (n // 4),
+        "attributes": "<p " + "class " * (n // 6) + ">x",
+    }
+    for name, page in kinds.items():
+        start = perf_counter()
+        extracted = main_text(page, frozenset([1]), frozenset([1]))
+        candidates(page)
+        seconds = (perf_counter() - start) * 2**20 / len(page)
+        assert seconds < 20, (name, seconds)
+        assert extracted is not None
+        half = page[: len(page) // 4]
+        start = perf_counter()
+        main_text(half, frozenset([1]), frozenset([1]))
+        candidates(half)
+        assert seconds < 10 * max(perf_counter() - start, 0.3), name  # four times the page
