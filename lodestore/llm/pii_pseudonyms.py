@@ -1,5 +1,7 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses.
 
+Cards, IBANs, social security and phone numbers, IPv4 and IPv6 addresses, dates and e-mail addresses.
+
 What looks like personal data is validated (check digits, ranges), and its value
 is permuted within its own format by a keyed Feistel network: equal values get
 equal pseudonyms in every document, different values stay different, and a
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from lodestore.llm.common import batch_of, id_text, map_arrow, read, texts
 
-DEFAULT_KEY = "lodestore-demo-key"
+#: The key of the query alone, which must give the same rows each time; it is published, so it hides nothing.
+DEMO_KEY = "lodestore-demo-key"
 ROUNDS = 10
 
 # Formats of numbers and dates. A candidate is not part of a longer run of letters or digits.
@@ -36,13 +39,17 @@ PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[
 IPV4 = re.compile(_EDGE_L + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _EDGE_R)
 ISO_DATE = re.compile(_EDGE_L + r"([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})" + _EDGE_R)
 DMY_DATE = re.compile(_EDGE_L + r"([0-9]{2})([-/.])([0-9]{2})\2([0-9]{4})" + _EDGE_R)
-EMAIL = re.compile(r"(\w[\w.%+-]{0,63})@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})")
-_LOCAL = re.compile(r"[\w.%+-]*\Z")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,39}(?![0-9A-Za-z:])(?!\.[0-9])")
+DOMAIN = re.compile(r"@((?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})")
+_LOCAL_CHAR = re.compile(r"[\w.%+-]")
 #: Alphabets whose letters are permuted among themselves in an address; letters of no alphabet stay.
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "".join(c for c in map(chr, range(0xDF, 0x250)) if c.islower() and len(c.upper()) == 1), "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3CA))), "".join(map(chr, range(0x4E00, 0x9FA6))))
+_cased = lambda low, high: "".join(c for c in map(chr, range(low, high)) if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c)
+_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", _cased(0xDF, 0x250), _cased(0x430, 0x450), _cased(0x3B1, 0x3CA), "".join(map(chr, range(0x4E00, 0x9FA6))))
 _PLACE = {c: (k, i) for k, alphabet in enumerate(_ALPHABETS) for i, c in enumerate(alphabet)}
-_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
-KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
+#: Dates of these years are permuted among themselves, all others among all days of four digits.
+_NEAR = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())
+_LAST_DAY = datetime.date.max.toordinal()
+KINDS = ("email", "iban", "card", "ssn", "phone", "ipv6", "ipv4", "date")
 _DIGITS = re.compile(r"[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _DOUBLED = bytes(sum(divmod((c - 48) * 2, 10)) if 48 <= c < 58 else 0 for c in range(256))
@@ -51,6 +58,8 @@ _DOUBLED = bytes(sum(divmod((c - 48) * 2, 10)) if 48 <= c < 58 else 0 for c in r
 class Cipher:
     """A keyed permutation of range(n) for any n, different for each label."""
 
+    back = False
+
     def __init__(self, key: str):
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
         self._memo: dict = {}
@@ -80,11 +89,17 @@ class Cipher:
         if memo not in self._memo:
             if len(self._memo) > 50_000:
                 self._memo.clear()
-            self._memo[memo] = self._walk(label, x, n, valid, False)
+            self._memo[memo] = self._walk(label, x, n, valid, self.back)
         return self._memo[memo]
 
     def invert(self, label: str, x: int, n: int, valid: Callable[[int], bool] | None = None) -> int:
-        return self._walk(label, x, n, valid, True)
+        return self._walk(label, x, n, valid, not self.back)
+
+
+class Inverse(Cipher):
+    """In a Cipher's place, brings the values of pseudonyms back: card(card(text, Cipher(key)), Inverse(key)) is text."""
+
+    back = True
 
 
 def _fill(shape: str, digits: str) -> str:
@@ -161,37 +176,107 @@ def ipv4(text: str, cipher: Cipher) -> str | None:
     return str(ipaddress.IPv4Address(x))
 
 
-def date(text: str, cipher: Cipher) -> str | None:
-    m = ISO_DATE.fullmatch(text)
-    year, month, day = (m[1], m[3], m[4]) if m else ((m := DMY_DATE.fullmatch(text))[4], m[3], m[1])
-    iso = text[4:5] == m[2]
+def ipv6(text: str, cipher: Cipher) -> str | None:
+    """An address in full or shortened form becomes one in full form, of lower or upper case as it was."""
     try:
-        at = datetime.date(int(year), int(month), int(day))
+        x = int(ipaddress.IPv6Address(text))
     except ValueError:
         return None
-    if not 0 <= at.toordinal() - _FIRST_DAY < _DAYS:
+    if len([g for g in text.split(":") if g]) < 3:  # loopback, and names like a::b in code
+        return None
+    new = ipaddress.IPv6Address(cipher.permute("ipv6", x, 1 << 128)).exploded
+    return new.upper() if text.upper() == text and text.lower() != text else new
+
+
+def _day(year: str, month: str, day: str) -> int | None:
+    try:
+        return datetime.date(int(year), int(month), int(day)).toordinal()
+    except ValueError:
+        return None
+
+
+def _other_day(at: int, label: str, cipher: Cipher, valid: Callable[[int], bool] | None = None) -> datetime.date:
+    low, high = _NEAR
+    if low <= at < high:
+        new = low + cipher.permute(label, at - low, high - low, valid and (lambda x: valid(low + x)))
+    else:  # of any other year: days outside of the near ones, in order
+        far = lambda x: x + 1 if x + 1 < low else x + 1 + high - low
+        x = at - 1 if at < low else at - 1 - (high - low)
+        new = far(cipher.permute(f"{label}-far", x, _LAST_DAY - (high - low), valid and (lambda y: valid(far(y)))))
+    return datetime.date.fromordinal(new)
+
+
+def date(text: str, cipher: Cipher) -> str | None:
+    """Year first, day first, or month first where the day cannot be a month; the order stays what it was.
+
+    A date that can only be month-first becomes one of its kind: its pseudonym's day is above 12 too.
+    """
+    m = ISO_DATE.fullmatch(text)
+    if m:
+        at = _day(m[1], m[3], m[4])
+        if at is None:
+            return None
+        new = _other_day(at, "date", cipher)
+        return f"{new.year:04d}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
+    m = DMY_DATE.fullmatch(text)
+    at = _day(m[4], m[3], m[1])
+    if at is not None:
+        new = _other_day(at, "date", cipher)
+        return f"{new.day:02d}{m[2]}{new.month:02d}{m[2]}{new.year:04d}"
+    at = _day(m[4], m[1], m[3])
+    if at is None:
         return None
-    new = datetime.date.fromordinal(_FIRST_DAY + cipher.permute("date", at.toordinal() - _FIRST_DAY, _DAYS))
-    parts = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
-    return m[2].join(parts if iso else parts[::-1])
+    new = _other_day(at, "date-month-first", cipher, lambda x: datetime.date.fromordinal(x).day > 12)
+    return f"{new.month:02d}{m[2]}{new.day:02d}{m[2]}{new.year:04d}"
+
+
+#: Letters and digits that one permutation takes; longer local parts are permuted a block at a time, each under the ones before it.
+_BLOCK = 64
 
 
 def email(text: str, cipher: Cipher) -> str | None:
-    """The local part's letters and digits are permuted among strings of its shape; upper case counts as lower."""
-    local, _, domain = text.partition("@")
-    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in local)
+    """The local part's letters and digits are permuted among strings of its shape: case and signs stay in place."""
+    local, _, domain = text.rpartition("@")
+    lower = "".join(c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c for c in local)
     kept = [_PLACE[c] for c in lower if c in _PLACE]
     if not kept:
         return None
-    x, n = 0, 1
-    for k, i in kept:
-        x, n = x * len(_ALPHABETS[k]) + i, n * len(_ALPHABETS[k])
-    x, out = cipher.permute(f"email{''.join(str(k) for k, _ in kept)}", x, n), []
-    for k, _ in reversed(kept):
-        x, i = divmod(x, len(_ALPHABETS[k]))
-        out.append(_ALPHABETS[k][i])
-    it = iter(reversed(out))
-    return "".join(next(it) if c in _PLACE else c for c in lower) + "@" + domain
+    out: list[str] = []
+    before = ""  # of the pseudonym so far
+    for a in range(0, len(kept), _BLOCK):
+        block, x, n = kept[a : a + _BLOCK], 0, 1
+        for k, i in block:
+            x, n = x * len(_ALPHABETS[k]) + i, n * len(_ALPHABETS[k])
+        x, new = cipher.permute(f"email{before}{''.join(str(k) for k, _ in block)}", x, n), []
+        for k, _ in reversed(block):
+            x, i = divmod(x, len(_ALPHABETS[k]))
+            new.append(_ALPHABETS[k][i])
+        out += reversed(new)
+        shown = "".join(_ALPHABETS[k][i] for k, i in block) if cipher.back else "".join(reversed(new))
+        before = hashlib.blake2b((before + shown).encode(), digest_size=8).hexdigest()
+    it = iter(out)
+    return "".join((y.upper() if c != old and len(y.upper()) == 1 else y) if (y := next(it) if c in _PLACE else c) else "" for c, old in zip(lower, local)) + "@" + domain
+
+
+def emails(text: str, cipher: Cipher) -> list[tuple[int, int, str]]:
+    """All of the local part, however long, is replaced."""
+    out, at, done = [], text.find("@"), 0
+    while at >= 0:
+        m = DOMAIN.match(text, at)
+        if m:
+            low = at
+            while low > done and _LOCAL_CHAR.match(text, low - 1):
+                low -= 1
+            while low < at and not text[low].isalnum():
+                low += 1
+            new = email(text[low : m.end()], cipher) if low < at else None
+            if new is not None:
+                out.append((low, m.end(), new))
+                done = m.end()
+            else:
+                done = at + 1
+        at = text.find("@", at + 1)
+    return out
 
 
 def _luhn_holds(digits: bytes) -> bool:
@@ -243,26 +328,13 @@ def _each(pattern: re.Pattern, make: Callable[[str, Cipher], str | None]) -> Cal
     return lambda text, cipher: [(*m.span(), new) for m in pattern.finditer(text) if (new := make(m[0], cipher)) is not None]
 
 
-_NUMBERS = (("iban", ibans), ("card", cards), ("ssn", _each(SSN, ssn)), ("phone", _each(PHONE, phone)), ("ipv4", _each(IPV4, ipv4)), ("date", _each(ISO_DATE, date)), ("date", _each(DMY_DATE, date)))
-_ANY_DIGIT = re.compile(r"[0-9]")
+_NUMBERS = (("iban", ibans), ("card", cards), ("ssn", _each(SSN, ssn)), ("phone", _each(PHONE, phone)), ("ipv6", _each(IPV6, ipv6)), ("ipv4", _each(IPV4, ipv4)), ("date", _each(ISO_DATE, date)), ("date", _each(DMY_DATE, date)))
+_ANY_DIGIT = re.compile(r"[0-9]|::")
 
 
 def find_pii(text: str, cipher: Cipher) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) by start; no two overlap."""
-    found = []
-    at = text.find("@")
-    done = 0
-    while at >= 0:
-        low = _LOCAL.search(text[max(done, at - 64) : at]).start() + max(done, at - 64)
-        while low < at and not text[low].isalnum():
-            low += 1
-        m = EMAIL.match(text, low) if low < at else None
-        if m and m.end(1) == at:
-            new = email(m[0], cipher)
-            if new is not None:
-                found.append(("email", *m.span(), new))
-                done = m.end()
-        at = text.find("@", at + 1)
+    found = [("email", *x) for x in emails(text, cipher)]
     if _ANY_DIGIT.search(text):
         for kind, find in _NUMBERS:
             found += [(kind, *x) for x in find(text, cipher)]
@@ -282,9 +354,11 @@ def replaced(text: str, spans: list[tuple[str, int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str) -> DataFrame:
     """(doc_id, spans, text): one row for each row of ``docs``, repeated rows included.
 
+    ``key`` is secret: who has it can bring the values back.
+
     ``spans`` is an array of (kind, start, end, pseudonym) in code points of the old
     text, end exclusive, none overlapping; of two that overlap the one that starts
     first stays, and of one start the kind listed first. A null or empty text has no
@@ -307,7 +381,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by kind, the spans and the new text."""
-    out = pseudonymise(read(spark, sf_dir, "documents"))
+    out = pseudonymise(read(spark, sf_dir, "documents"), key=DEMO_KEY)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("spans")
     return out.select("doc_id", *[count(k) for k in KINDS], shown, "text")
