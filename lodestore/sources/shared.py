@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Scratch tables of this process that are still there.
 _written: set[str] = set()
+_steps = threading.local()
 
 
 def scratch(df: DataFrame) -> DataFrame:
@@ -31,6 +35,8 @@ def scratch(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     _written.add(path)
+    for made in getattr(_steps, "made", [])[-1:]:
+        made.append(out)
     out._scratch_path = path
     return out
 
@@ -49,6 +55,29 @@ def let_go(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+@contextmanager
+def step() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch tables written in a step go when it ends; the function it gives keeps one, for the step around it.
+
+    What a step returns is to be read from kept tables alone.
+    """
+    stack = _steps.__dict__.setdefault("made", [])
+    stack.append([])
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        made = stack.pop()
+        let_go(*[t for t in made if not any(t is k for k in kept)])
+        if stack:
+            stack[-1].extend(kept)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this process, once their results have been written."""
     while _written:

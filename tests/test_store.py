@@ -319,3 +319,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master))
     with pytest.raises(ValueError):
         shared_dir(session("spark://host:7077"))
+
+
+def test_scratch_tables_go_with_their_step(spark):
+    import os
+
+    from lodestore.sources.shared import scratch, step
+
+    there = lambda t: os.path.exists(t._scratch_path.removeprefix("file:"))
+    with step() as keep:
+        a = scratch(spark.range(3))
+        with step() as inner:
+            b, c = scratch(a), inner(scratch(a))
+        assert there(a) and not there(b) and there(c)
+        d = keep(scratch(c))
+    assert not there(a) and not there(c) and there(d) and d.count() == 3
