@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestore.sources.shared import clear_scratch, let_go, scratch, shared_dir  # noqa: F401
+from lodestore.sources.shared import clear_scratch, let_go, scratch, shared_dir, step  # noqa: F401
 
 #: Bytes of text that one numpy pass handles at a time; bounds a worker's memory.
 SLICE_BYTES = 1 << 20

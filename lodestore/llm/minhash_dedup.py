@@ -24,14 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import wordkit
-from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch, string_parts
+from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch, step, string_parts
 from lodestore.llm.components import connected_components
 
 COORDS = 64
 #: Six standard deviations below the 51 matches expected at similarity 0.8.
 MATCHES = 32
-#: Members of a posting list that one task compares at a time, with at most four times as many outsiders.
+#: Members of a posting list that one task compares at a time, with at most four times as many outsiders, and
+#: about how many bytes the sets of either may have.
 BLOCK = 1024
+BLOCK_BYTES = 32 << 20
+#: Classes of more than this share of all rows, and of so many rows, are joined by themselves: there are at most 1 / HOT_SHARE.
+HOT_SHARE, HOT_ROWS = 0.001, 10_000
 #: What a row is in its block. In a list of one block, a row is both.
 OUTSIDER, MEMBER, BOTH = 1, 2, 3
 
@@ -65,13 +69,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_key(hashes: np.ndarray) -> bytes | None:
+    """Names a shingle set; None for the empty one."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), width)
-        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return batch_of(schema, batch.column(0), [len(s) for s in sets], keys, [signature(s).tobytes() if len(s) else None for s in sets])
+        return batch_of(schema, batch.column(0), [len(s) for s in sets], [set_key(s) for s in sets], [signature(s).tobytes() if len(s) else None for s in sets])
 
     return map_arrow(docs, one, "doc_id long, n_shingles long, set_key binary, sig binary")
 
@@ -93,11 +101,12 @@ def _postings(reps: DataFrame) -> DataFrame:
         pair = (np.arange(COORDS, dtype=np.uint64) << np.uint64(32)) | _matrix(batch.column(1))
         return batch_of(schema, pair.ravel().astype(np.int64), np.repeat(batch.column(0).to_numpy(), COORDS))
 
-    pairs = map_arrow(reps.select("rep", "sig"), one, "key long, rep long")
-    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    many = scratch(pairs.join(shared, "key"))
-    ranked = many.selectExpr("key", "rep", "row_number() OVER (PARTITION BY rep ORDER BY n, key) AS place", "count(*) OVER (PARTITION BY rep) AS shared")
-    return ranked.where(F.col("place") + COORDS - F.col("shared") <= COORDS - MATCHES + 1).select("key", "rep")
+    with step() as keep:
+        pairs = map_arrow(reps.select("rep", "sig"), one, "key long, rep long")
+        shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        many = scratch(pairs.join(shared, "key"))
+        ranked = many.selectExpr("key", "rep", "row_number() OVER (PARTITION BY rep ORDER BY n, key) AS place", "count(*) OVER (PARTITION BY rep) AS shared")
+        return keep(scratch(ranked.where(F.col("place") + COORDS - F.col("shared") <= COORDS - MATCHES + 1).select("key", "rep")))
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -113,18 +122,21 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), one, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, items) with the whole shingle sets of the documents ``nodes`` (doc_id)."""
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, items) with the whole shingle sets of the classes ``nodes`` (rep)."""
     schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
     def as_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch_of(schema, batch.column(0), [s.tobytes() for s in shingle_sets(batch.column(1), width)])
+        # Rows of one id may have other texts, of other classes.
+        out = [(n, s) for n, s, k in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2), width), batch.column(1).to_pylist()) if set_key(s) == k]
+        return batch_of(schema, [n for n, _ in out], [s.tobytes() for _, s in out])
 
-    sets = map_arrow(docs.join(nodes, "doc_id").select("doc_id", "text"), as_set, "node long, items binary")
-    return scratch(sets.dropDuplicates(["node", "items"]))
+    wanted = classes.join(nodes, "rep").select("rep", "set_key", F.col("least").alias("doc_id"))
+    sets = map_arrow(docs.join(wanted, "doc_id").select("rep", "set_key", "text"), as_set, "node long, items binary")
+    return scratch(sets.dropDuplicates(["node"]))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole shingle sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -136,7 +148,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             keep.append(100 * both >= percent * (len(p) + len(q) - both))
         return batch_of(schema, batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)))
 
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
+    sets = _sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), width)
     left, right = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b"), one, "a long, b long")
 
@@ -145,11 +157,12 @@ def _blocks(members: DataFrame) -> DataFrame:
     """Rows of ``members`` dealt to (hub, lb, rb): outsiders of a group's largest component meet its every member once.
 
     Of the members, about ``BLOCK`` fall into one task together with about ``4 * BLOCK``
-    outsiders at most, however large the group is.
+    outsiders at most, and fewer of long texts (``BLOCK_BYTES``), however large the group is.
     """
-    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    groups = groups.selectExpr("hub", "major", f"cast(ceil(n / {BLOCK}) AS int) AS nb", f"cast(ceil((n - top) / {4 * BLOCK}) AS int) AS mb")
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    groups = sizes.groupBy("hub").agg(F.max_by(F.struct("component", "w"), F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("top"), F.count("*").alias("parts"), F.sum("w").alias("w")).where("parts > 1")
+    blocks = lambda n, most, w: f"cast(greatest(ceil(({n}) / {most}), ceil(8 * ({w}) / {BLOCK_BYTES})) AS int)"
+    groups = groups.selectExpr("hub", "major.component AS major", f"{blocks('n', BLOCK, 'w')} AS nb", f"{blocks('n - top', 4 * BLOCK, 'w - major.w')} AS mb")
     # Written first: joined to an aggregate, a hub with a third of all members could not be split.
     dealt = members.join(scratch(groups), "hub")
     rest = ["major", *(c for c in members.columns if c != "hub")]
@@ -176,7 +189,7 @@ def _outer_pairs(t: pa.Table):
             yield u, v[near][np.argsort(-agree[near], kind="stable")]
 
 
-def _missed(posted: DataFrame, lists: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _missed(posted: DataFrame, lists: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between components whose members share a list, one for each member and component.
 
     Lists are taken together by their hub, so that a member comes once. Inside a
@@ -215,8 +228,8 @@ def _missed(posted: DataFrame, lists: DataFrame, found: DataFrame, reps: DataFra
         return pa.Table.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], schema=link_schema)
 
     wanted = scratch(_blocks(members).groupBy("hub", "lb", "rb").applyInArrow(near, "hub long, rep long").distinct())
-    sets = _sets(docs, wanted.select(F.col("rep").alias("doc_id")).distinct(), width).toDF("rep", "items")
-    full = members.join(wanted, ["hub", "rep"]).join(sets, "rep").select("hub", "rep", "component", "sig", "items")
+    sets = _sets(docs, classes, wanted.select("rep").distinct(), width).toDF("rep", "items")
+    full = members.join(wanted, ["hub", "rep"]).join(sets, "rep").select("hub", "rep", "component", "n_shingles", "sig", "items")
     return _blocks(scratch(full)).groupBy("hub", "lb", "rb").applyInArrow(links, "a long, b long").distinct()
 
 
@@ -231,25 +244,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part and has a null component, kept. An empty table gives no rows.
     """
     docs = id_text(docs, id_col, text_col)
-    signed = scratch(_signed(docs, width))
-    linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = scratch(linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")))
-    reps = classes.select("rep", "sig")
-    posted = scratch(_postings(reps))
-
-    lists = scratch(posted.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    star = posted.join(lists, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = scratch(_confirmed(scratch(_agreeing(star, reps)), docs, width, percent))
-    found = scratch(connected_components(edges))
-
-    more = scratch(_missed(posted, lists, found, reps, docs, width, percent))
-    if not more.isEmpty():
-        found = scratch(connected_components(edges.union(more)))
-
-    label = classes.join(found, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with step() as keep:
+        signed = keep(scratch(_signed(docs, width)))
+        linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+        # Classes are numbered by themselves: an id may stand in several. Written, the numbers stay what they are.
+        one = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"), F.count("*").alias("rows"))
+        classes = scratch(one.select("set_key", "rows", F.col("m.doc_id").alias("least"), F.col("m.n_shingles").alias("n_shingles"), F.col("m.sig").alias("sig"), F.monotonically_increasing_id().alias("rep")))
+        reps = classes.select("rep", "n_shingles", "sig")
+        names = classes.select("rep", "set_key", "least")
+        posted = _postings(reps)
+        lists = scratch(posted.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+        with step() as hold:
+            star = posted.join(lists, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+            edges = hold(scratch(_confirmed(scratch(_agreeing(star, reps)), docs, names, width, percent)))
+        found = connected_components(edges)
+        with step() as hold:
+            more = hold(scratch(_missed(posted, lists, found, reps, docs, names, width, percent)))
+        if not more.isEmpty():
+            found = connected_components(edges.union(more))
+
+        in_group = found.join(classes.select("rep", "least"), F.col("node") == F.col("rep")).select("rep", "least", "component")
+        smallest = in_group.groupBy("component").agg(F.min("least").alias("component_id"))
+        of_rep = in_group.join(smallest, "component").select("rep", "component_id")
+        labelled = classes.select("rep", "set_key", "rows", "least").join(of_rep, "rep", "left")
+        label = keep(scratch(labelled.select("set_key", "rows", F.coalesce("component_id", "least").alias("component_id"))))
+
+    # Rows without a set go round the join, and rows of the few hottest classes take their label by a broadcast.
+    hot = max(HOT_ROWS, int(signed.count() * HOT_SHARE))
+    few = F.broadcast(label.where(F.col("rows") > hot).select("set_key", "component_id"))
+    rows = linked.select("doc_id", "n_shingles", "set_key")
+    parts = [
+        signed.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")),
+        rows.join(few, "set_key").select("doc_id", "n_shingles", "component_id"),
+        rows.join(few.select("set_key"), "set_key", "left_anti").join(label.where(F.col("rows") <= hot), "set_key").select("doc_id", "n_shingles", "component_id"),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,33 @@ def test_lists_of_many_blocks(spark, monkeypatch):
     got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
     want = brute(rows, 2)
     assert got == want and 3 < len({r[2] for r in want}) < 110
+
+
+def test_one_id_with_different_texts(spark):
+    """Rows of one id and different texts are documents of their own: no link runs through the id."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (2, a + " z"), (9, b), (9, a), (7, b + " y")]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    assert got == brute(rows, 2)
+    assert {(i, c) for i, _, c, _ in got} == {(5, 2), (5, 5), (2, 2), (9, 5), (9, 2), (7, 5)}
+
+
+def test_hot_classes_and_blocks_by_bytes(spark, monkeypatch):
+    from lodestore.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 2000)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:-3] + [f"x{rng.randrange(30)}" for _ in range(rng.randrange(8))]) for _ in range(25)]
+    rows = [(k, texts[min(rng.randrange(60), 24)]) for k in range(90)] + [(1000 + k, None) for k in range(20)]
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    assert got == brute(rows, 2)
+
+
+def test_scratch_tables_do_not_stay(spark):
+    from lodestore.sources import shared
+
+    before = set(shared._written)
+    near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string"), width=2).collect()
+    assert len(shared._written - before) == 2  # what the result is read from
