@@ -1,14 +1,14 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A test item of n shingles stands in a document if the document holds at least
-``percent`` of them. Items are partitioned by size (powers of two). In a partition
-each item's signature is its bottom-k MinHash: the k smallest shingle hashes, with
-k = n - ceil(percent * n / 100) + 1 for the item, at most the partition's own bound.
-A document that lacks all k lacks too many shingles to contain the item, so one
-signature value among the document's shingle hashes is a necessary condition, for
-a document of any length. Every shingle of a document is held against the
-signatures of a partition at once; the rare hits are verified by counting exactly
-which of the item's shingles the document has.
+``percent`` of them. Items are partitioned by size, in powers of two, and a partition's largest
+size gives its bound: the most shingles that an item of it may lack. That bound sets the length of
+the partition's signatures, bottom-k MinHashes of its items, twice the bound and ``MORE``; and each item's
+threshold, the number of signature values that a document must hold whatever it lacks, which is
+above the bound. Documents are classed by their size too: they are held only against partitions with
+an item that they are long enough for. Every shingle of a document, however long, is held against a
+partition's signatures at once, and pairs that reach their threshold are verified by counting exactly
+which of the item's shingles the document has. No item that it contains is missed.
 
 Only the benchmark is broadcast, in blocks of at most ``BLOCK_BYTES`` of text; a
 larger one takes more steps over each row, ``CHAIN`` blocks a job. No document is
@@ -36,31 +36,54 @@ BLOCK_BYTES = 8 << 20
 CHAIN = 4
 
 
+#: Signature values beyond what a partition's bound needs.
+MORE = 4
+
+
 class Partition:
-    """Items of 2^p to 2^(p+1) - 1 shingles: signatures to probe, and sets to verify with."""
+    """Items of 2^p to 2^(p+1) - 1 shingles: signatures to probe, thresholds, and sets to verify with."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], percent: int):
         self.ids = [i for i, _ in items]
         self.sets = [s for _, s in items]
-        self.need = [-(-len(s) * percent // 100) for s in self.sets]
-        value = np.concatenate([s[: len(s) - need + 1] for s, need in zip(self.sets, self.need)])
-        owner = np.concatenate([np.full(len(s) - need + 1, k) for k, (s, need) in enumerate(zip(self.sets, self.need))])
-        order = np.argsort(value, kind="stable")
-        self.value, self.owner = value[order], owner[order]
+        most = (1 << len(self.sets[0]).bit_length()) - 1
+        self.bound = most * (100 - percent) // 100  # shingles that an item may lack
+        length = 2 * self.bound + MORE
+        size = np.array([len(s) for s in self.sets])
+        self.need = -(-size * percent // 100)
+        self.least = int(self.need.min())  # shorter documents hold none of them
+        self.threshold = np.minimum(size, length) - (size - self.need)
+        self.value = np.concatenate([s[:length] for s in self.sets])  # sets are sorted: the least hashes come first
+        self.owner = np.repeat(np.arange(len(items)), np.minimum(size, length))
+        order = np.argsort(self.value, kind="stable")
+        self.value, self.owner = self.value[order], self.owner[order]
         self.bits = np.zeros(1 << 16, dtype=bool)  # a first, cheap filter on 16 bits of the hash
         self.bits[(self.value >> np.uint64(20)).astype(np.int64) & 0xFFFF] = True
 
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``h``, item) for each signature value found."""
+    def probe(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) pairs whose shared signature values reach the item's threshold."""
         maybe = np.flatnonzero(self.bits[(h >> np.uint64(20)).astype(np.int64) & 0xFFFF])
         low, high = np.searchsorted(self.value, h[maybe], "left"), np.searchsorted(self.value, h[maybe], "right")
         n = high - low
-        at = np.repeat(maybe, n)
+        if not n.any():
+            return []
         k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return at, self.owner[k]
+        at = np.repeat(doc[maybe], n) * len(self.value) + k
+        at = np.unique(at)  # a value that a document repeats counts once
+        pair, count = np.unique(at // len(self.value) * len(self.ids) + self.owner[at % len(self.value)], return_counts=True)
+        d, item = pair // len(self.ids), pair % len(self.ids)
+        hit = count >= self.threshold[item]
+        return list(zip(d[hit].tolist(), item[hit].tolist()))
+
+
+def _held(own: np.ndarray, wanted: np.ndarray) -> int:
+    """How many of ``wanted`` are in ``own``, which is sorted."""
+    k = np.searchsorted(own, wanted)
+    k[k == len(own)] = 0
+    return int((own[k] == wanted).sum())
 
 
-def item_sets(rows: list[tuple[int, str]], width: int) -> dict[int, list[tuple[int, np.ndarray]]]:
+def item_sets(rows: list[tuple[int | None, str | None]], width: int) -> dict[int, list[tuple[int, np.ndarray]]]:
     """By shingle width: items and their sorted distinct shingle hashes. Items of fewer words use their own length."""
     out = defaultdict(list)
     w = wordkit.split(pa.array([t or "" for _, t in rows], pa.string()))
@@ -90,9 +113,9 @@ def _windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
     """The benchmark's rows in blocks of bounded size, and whether a block is the last; at most two are on the driver."""
     before, block, size = None, [], 0
-    for r in benchmark.toLocalIterator():
+    for r in benchmark.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))).toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
+        size += r["size"]
         if size >= BLOCK_BYTES:
             if before is not None:
                 yield before, False
@@ -112,18 +135,22 @@ def find_items(docs: DataFrame, block: list[tuple[int, str]], width: int, percen
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = wordkit.split(batch.column(1))
         h = w.hashes()
-        found = [list(zip(a, b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        found = [dict(zip(a, b)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        n_words = np.diff(w.first)
         for wide, many in parts.items():
             grams, doc = _windows(h, w.first, wide)
+            own: dict[int, np.ndarray] = {}  # the sorted shingles of documents with a candidate
             for part in many:
-                at, owner = part.probe(grams)
-                for d, k in np.unique(np.stack([doc[at], owner], axis=1), axis=0).tolist():
-                    a, b = np.searchsorted(doc, [d, d + 1])
-                    n = int(np.isin(part.sets[k], grams[a:b]).sum())
+                long = n_words - wide + 1 >= part.least
+                some = slice(None) if long.all() else long[doc]
+                for d, k in part.probe(grams[some], doc[some]):
+                    if d not in own:
+                        a, b = np.searchsorted(doc, [d, d + 1])
+                        own[d] = np.sort(grams[a:b])
+                    n = _held(own[d], part.sets[k])
                     if n >= part.need[k]:
-                        found[d].append((part.ids[k], n / len(part.sets[k])))
-        for x in found:
-            x.sort(key=lambda y: (y[0] is None, y))
+                        found[d][part.ids[k]] = max(found[d].get(part.ids[k], 0.0), n / len(part.sets[k]))
+        found = [sorted(x.items(), key=lambda y: (y[0] is None, y[0])) for x in found]
         return batch_of(schema, batch.column(0), *([] if last else [batch.column(1)]), [[i for i, _ in x] for x in found], [[c for _, c in x] for x in found])
 
     return map_arrow(docs, one, ", ".join(["doc_id long"] + ["text string"] * (not last) + ["item_ids array<long>", "containments array<double>"]))
@@ -132,9 +159,9 @@ def find_items(docs: DataFrame, block: list[tuple[int, str]], width: int, percen
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, carry: bool = False) -> DataFrame:
     """(doc_id, item_ids, containments, kept): one row for each row of ``docs``.
 
-    ``benchmark`` has item_id and text. ``item_ids`` are the items (repeated ones as
-    often as they stand) of whose distinct ``width``-word shingles the document
-    holds ``percent`` in a hundred or more; a document with any is not kept. Items of
+    ``benchmark`` has item_id and text. ``item_ids`` are the items of whose distinct ``width``-word shingles the
+    document holds ``percent`` in a hundred or more, in order, each id once, with its greatest share in
+    ``containments`` (of an id with several rows each is an item); a document with any is not kept. Items of
     fewer words are one shingle, to be found anywhere. Items without words, null or
     empty, are in no document; null texts hold nothing. Null ids are passed on.
     Empty tables give no rows, or nothing found. Other columns are not looked at; with

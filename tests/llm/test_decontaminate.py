@@ -22,7 +22,7 @@ def brute(docs, items):
                 mine = grams(t, wide)[1]
                 if 100 * len(mine & grams(text, wide)[1]) >= 80 * len(mine):
                     hits.append(item)
-        out.append((i, sorted(hits), not hits))
+        out.append((i, sorted(set(hits)), not hits))
     return sorted(out, key=str)
 
 
@@ -49,6 +49,28 @@ def test_all_sizes_and_rates(spark, monkeypatch, block):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_partitions_bound_signatures_and_thresholds():
+    """A document without any k of an item's shingles, k up to what it may lack, still reaches the threshold; fewer values are needed of no item than one."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 7, 8, 31, 32, 100, 255, 256, 1000):
+        sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(3)]
+        part = m.Partition(list(enumerate(sets)), 80)
+        assert (part.threshold >= 1).all() and part.bound >= n - int(part.need[0])
+        assert len(part.value) == sum(min(len(x), 2 * part.bound + m.MORE) for x in sets)
+        for k, x in enumerate(sets):
+            lacking = int(rng.integers(0, len(x) - part.need[k] + 1))
+            left = np.sort(rng.permutation(x)[lacking:])
+            worst = x[lacking:]  # without the whole begin of its signature
+            for own in (left, worst):
+                grams = np.concatenate([own, rng.integers(0, 1 << 63, 500).astype(np.uint64), own[:1]])
+                assert (0, k) in part.probe(grams, np.zeros(len(grams), np.int64))
+                assert m._held(np.sort(grams), x) == len(own)
+        few = sets[0][: max(0, int(part.threshold[0]) - 1)]
+        assert (0, 0) not in part.probe(few, np.zeros(len(few), np.int64))
+
+
 def test_odd_rows(spark):
     items = [(1, "A b c d e f"), (1, "a B c d e f"), (2, None), (3, ""), (4, "é one")]
     docs = [(1, None), (2, ""), (None, "a b c d e f"), (3, "É ONE"), (4, "é ONE x"), (4, "é ONE x"), (5, "a b c d e " * 50000 + "f")]
