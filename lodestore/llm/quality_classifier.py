@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.llm import wordkit
-from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch
+from lodestore.llm.common import batch_of, id_text, map_arrow, read, scratch, step
 
-#: Documents that the scorer is fitted on; those of the smallest hashes.
+#: Texts that the scorer is fitted on, at most; those of the smallest hashes.
 SAMPLE = 2000
 #: Hashed features, half for words and half for word shapes.
 DIM = 2048
@@ -26,6 +26,8 @@ DIM = 2048
 SPAN = 2000
 #: Below a half: what little text a short document has should not cost it its place.
 THRESHOLD = 0.35
+#: Words from which on a labeller may vote bad: of fewer, a share says little.
+FEW, SHORT, MEDIUM = 4, 20, 40
 LABELLERS = ("symbols", "capitals", "repetition", "separators", "function_words", "sentences", "word_length", "stutter")
 GOOD, BAD, NONE = 1, 0, 2
 
@@ -105,12 +107,12 @@ def votes(column: pa.Array) -> np.ndarray:
         [
             vote(_sums(_SYMBOL[raw], at) / some, lambda v: v < 0.1, lambda v: v > 0.5),
             vote(_sums(_UPPER[raw], at) / letters, lambda v: v < 0.2, lambda v: v > 0.5),
-            vote(distinct, lambda v: v > 0.3, lambda v: (v < 0.15) & (n > 20)),
+            vote(distinct, lambda v: v > 0.3, lambda v: (v < 0.15) & (n > SHORT)),
             vote(bars / some, lambda v: v < 0.02, lambda v: v > 0.2),
-            vote(function, lambda v: v > 0.15, lambda v: (v < 0.02) & (n > 40)),
-            vote(ends / some, lambda v: (v > 0.02) & (v < 0.5), lambda v: (v < 0.003) & (n > 40)),
+            vote(function, lambda v: v > 0.15, lambda v: (v < 0.02) & (n > MEDIUM)),
+            vote(ends / some, lambda v: (v > 0.02) & (v < 0.5), lambda v: (v < 0.003) & (n > MEDIUM)),
             vote(points / some, lambda v: (v > 3) & (v < 10), lambda v: (v < 2) | (v > 20)),
-            vote(_sums(_again(words, h), words.first) / some, lambda v: (v < 0.05) & (n > 1), lambda v: (v > 0.15) & (n > 4)),
+            vote(_sums(_again(words, h), words.first) / some, lambda v: (v < 0.05) & (n > 1), lambda v: (v > 0.15) & (n > FEW)),
         ],
         axis=1,
     )
@@ -197,31 +199,34 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     empty table gives no rows.
     """
     wide = id_text(docs, id_col, text_col, carry)
-    docs = wide.select("doc_id", "text")
+    docs = wide.select("text").withColumn("pick", F.xxhash64("text"))
     n_votes = len(LABELLERS)
-    schema = pa.schema([("doc_id", pa.int64()), ("pick", pa.int64()), ("pattern", pa.int32())])
+    schema = pa.schema([("pick", pa.int64()), ("pattern", pa.int32())])
     powers = 3 ** np.arange(n_votes)
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first = wordkit.split(batch.column(1)).first
-        return batch_of(schema, batch.column(0), pa.array(np.zeros(batch.num_rows, np.int64), mask=np.diff(first) == 0), (votes(batch.column(1)) @ powers).astype(np.int32))
-
-    voted = scratch(map_arrow(docs, vote, "doc_id long, pick long, pattern int"))
-    counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** 8 rows at most
+        empty = np.diff(wordkit.split(batch.column(0)).first) == 0
+        return batch_of(schema, pa.array(batch.column(1).to_numpy(), mask=empty), (votes(batch.column(0)) @ powers).astype(np.int32))
+
+    with step():
+        voted = scratch(map_arrow(docs, vote, "pick long, pattern int"))
+        counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** 8 rows at most
+        # Texts of the smallest hashes; copies share one and count once.
+        picked = [r["pick"] for r in voted.where("pick IS NOT NULL").select("pick").distinct().orderBy("pick").limit(sample).collect()]
     digits = lambda code: code[:, None] // powers % 3
     code = np.array([r["pattern"] for r in counted], dtype=np.int64)
     model = LabelModel(digits(code), np.array([r["n"] for r in counted], dtype=np.float64))
 
-    chosen = voted.where("pick IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("pattern", pa.int32()), ("x", pa.binary())])
+    train_schema = pa.schema([("pick", pa.int64()), ("pattern", pa.int32()), ("x", pa.binary())])
 
     def train(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(batch.column(1)).astype(np.float16)
-        h = wordkit.hash_spans(*_whole(batch.column(1)))
-        return batch_of(train_schema, batch.column(0), h.astype(np.int64), (votes(batch.column(1)) @ powers).astype(np.int32), [r.tobytes() for r in x])
+        x = features(batch.column(0)).astype(np.float16)
+        return batch_of(train_schema, batch.column(1), (votes(batch.column(0)) @ powers).astype(np.int32), [r.tobytes() for r in x])
 
-    rows = map_arrow(docs.join(chosen.distinct(), "doc_id").select("doc_id", "text"), train, "doc_id long, key long, pattern int, x binary")
-    rows = rows.orderBy("doc_id", "key").limit(sample).toArrow()  # repeated ids do not raise the bound
+    # A bound on the hash leaves the other texts at the scan: nothing is joined, and few texts are looked at again.
+    chosen = docs.where(F.col("pick") <= F.lit(picked[-1] if picked else None).cast("long")).where(F.length("text") > 0)
+    rows = map_arrow(chosen, train, "pick long, pattern int, x binary")
+    rows = rows.groupBy("pick").agg(F.min(F.struct("pattern", "x")).alias("m")).select("pick", "m.pattern", "m.x").orderBy("pick").limit(sample).toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, DIM)
     w = fit_scorer(x, model.posterior(digits(rows.column("pattern").to_numpy().astype(np.int64))))
 
@@ -236,11 +241,6 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return map_arrow(wide, score, "doc_id long, votes string, posterior double, score double").withColumn("kept", F.col("score") >= threshold)
 
 
-def _whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, at = wordkit.flat(column, lower=False)
-    return data, at[:-1], at[1:]
-
-
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classify(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "votes", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
