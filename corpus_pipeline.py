@@ -63,8 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after another, over ``documents``."""
     docs = common.read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.scratch(docs)
-    return docs
+    *before, (_, last) = STAGES
+    for _, stage in before:
+        with common.step() as keep:  # what a stage wrote on its way goes when its result is written
+            kept = keep(common.scratch(stage(spark, docs, sf_dir)))
+        common.let_go(docs)
+        docs = kept
+    return last(spark, docs, sf_dir)
