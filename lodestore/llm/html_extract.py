@@ -4,8 +4,8 @@ Pages are parsed into a tree. The subtree of every element is hashed (tag and te
 without attributes, which often differ in ids); Spark counts on how many pages of its
 host each hash stands, and subtrees that recur on many are deleted, outside of articles and
 inside. Inside an article of recurring subtrees those of several blocks or mostly of links that
-different articles hold go: a sentence that two articles share is text. What the counts deleted is
-reported for each page. Then, as a second step, what elements or (a parameter) their names mark as
+different articles hold go: a sentence that two articles share is text. What the counts deleted of
+what would else be text is reported for each page. Then, as a second step, what elements or (a parameter) their names mark as
 furniture goes. Where a page marks no article, the text that is left after deletion is the main text.
 
 Each page is given its own recurring subtrees, by a join, so that a host may have any number of them.
@@ -208,7 +208,7 @@ def _signed(h: int) -> int:
 
 def template_candidates(page: str) -> list[int]:
     """Hashes of the subtrees with text that stand outside of an article, as signed 64-bit numbers; each once."""
-    return [h for h, article in candidates(page) if article is None]
+    return [h for h, _, article in candidates(page) if article is None]
 
 
 def _parts(nodes: list[Node], main: list[Node]) -> list[bool | None]:
@@ -234,16 +234,21 @@ def _subtree(node: Node) -> list[Node]:
     return out
 
 
-def candidates(page: str, names: re.Pattern | None = FURNITURE) -> list[tuple[int, int | None]]:
-    """(hash, the article it stands in), each once: outside of articles the subtrees with text, inside what may be furniture."""
+def candidates(page: str, names: re.Pattern | None = FURNITURE) -> list[tuple[int, bool, int | None]]:
+    """(hash, whether the page's text is without it if it is a template, the article it stands in), each once.
+
+    Outside of articles these are the subtrees with text, which count for all pages of the host and change the
+    text of those without an article; inside, what may be furniture.
+    """
     nodes = hash_subtrees(parse(page, names))
     main = main_node(nodes)
     inside = _parts(nodes, main)
     held = {n.hash for n in nodes if inside[n.at] is False and n.tag not in ("", "html", "body") and n.text}
-    out: list[tuple[int, int | None]] = [(_signed(h), None) for h in sorted(held)]
-    if main[0].parent is not None:
+    free = main[0].parent is None
+    out: list[tuple[int, bool, int | None]] = [(_signed(h), free, None) for h in sorted(held)]
+    if not free:
         article = _signed(int.from_bytes(hashlib.blake2b(b"".join(m.hash.to_bytes(8, "big") for m in main), digest_size=8).digest(), "big"))
-        out += [(_signed(h), article) for h in sorted(_furniture_like(main))]
+        out += [(_signed(h), True, article) for h in sorted(_furniture_like(main))]
     return out
 
 
@@ -325,7 +330,8 @@ def extract(
 
     A subtree outside of articles is a template if it stands on ``min_pages`` of its host's pages, and on
     ``min_share`` of them or on ``many_pages``; inside, on ``min_pages`` different articles and ``inside_share``
-    as many as the host has pages. ``n_templates`` says how many subtrees of the page that deleted.
+    as many as the host has pages. ``n_templates`` says how many subtrees of what
+    would else be the page's text that deleted (where there is an article, what is outside of it is no text anyway).
     ``furniture`` finds classes, ids and roles of furniture (None: elements alone mark it).
 
     Pages without a host (null or odd urls) share none and lose no template. A null
@@ -336,16 +342,16 @@ def extract(
     host = F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.when(host != "", host).alias("host"))
     rows = rows.withColumn("page", F.xxhash64("html"))  # pages of one host and text have one template
-    held_schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64()), ("article", pa.int64())])
+    held_schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("hash", pa.int64()), ("cut", pa.bool_()), ("article", pa.int64())])
 
     def held(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for host, page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
             out += [(host, page, *x) for x in candidates(text, furniture)]
-        return batch_of(held_schema, *([r[k] for r in out] for k in range(4)))
+        return batch_of(held_schema, *([r[k] for r in out] for k in range(5)))
 
     on_host = rows.where("host IS NOT NULL")
-    pairs = scratch(map_arrow(on_host.select("host", "page", "html"), held, "host string, page long, hash long, article long"))
+    pairs = scratch(map_arrow(on_host.select("host", "page", "html"), held, "host string, page long, hash long, cut boolean, article long"))
     # Outside of articles pages are counted, inside different articles: copies of one do not make its text a template.
     inside = F.col("article").isNotNull().alias("inside")
     each = pairs.groupBy("host", "hash", "article").agg(F.count("*").alias("n"))
@@ -353,7 +359,7 @@ def extract(
     sizes = on_host.groupBy("host").agg(F.count("*").alias("pages"))
     least = F.when(F.col("inside"), F.col("pages") * inside_share).otherwise(F.least(F.col("pages") * min_share, F.lit(many_pages)))
     often = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= least).select("host", "hash", "inside")
-    own = pairs.select("host", "page", "hash", inside).join(often, ["host", "hash", "inside"])
+    own = pairs.where("cut").select("host", "page", "hash", inside).join(often, ["host", "hash", "inside"])
     of = lambda where: F.sort_array(F.collect_set(F.when(where, F.col("hash"))))
     templates = scratch(own.groupBy("host", "page").agg(of(~F.col("inside")).alias("outside"), of(F.col("inside")).alias("inside")))
     let_go(pairs)
