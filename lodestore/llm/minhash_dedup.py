@@ -123,17 +123,20 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, items) with the whole shingle sets of the classes ``nodes`` (rep)."""
-    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+    """(node, items) with the whole shingle sets of the classes ``nodes`` (rep).
+
+    Texts are taken by id alone, so that the side that Spark may broadcast is narrow; of rows of one id with
+    other texts the sets have other names.
+    """
+    schema = pa.schema([("set_key", pa.binary()), ("items", pa.binary())])
 
     def as_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # Rows of one id may have other texts, of other classes.
-        out = [(n, s) for n, s, k in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2), width), batch.column(1).to_pylist()) if set_key(s) == k]
-        return batch_of(schema, [n for n, _ in out], [s.tobytes() for _, s in out])
+        sets = shingle_sets(batch.column(0), width)
+        return batch_of(schema, [set_key(s) for s in sets], [s.tobytes() for s in sets])
 
     wanted = classes.join(nodes, "rep").select("rep", "set_key", F.col("least").alias("doc_id"))
-    sets = map_arrow(docs.join(wanted, "doc_id").select("rep", "set_key", "text"), as_set, "node long, items binary")
-    return scratch(sets.dropDuplicates(["node"]))
+    sets = map_arrow(docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text"), as_set, "set_key binary, items binary")
+    return scratch(sets.dropDuplicates(["set_key"]).join(wanted.select(F.col("rep").alias("node"), "set_key"), "set_key").select("node", "items"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -247,9 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with step() as keep:
         signed = keep(scratch(_signed(docs, width)))
         linked = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-        # Classes are numbered by themselves: an id may stand in several. Written, the numbers stay what they are.
+        # Classes are numbered by themselves: an id may stand in several. Written, the numbers stay what they are. They follow
+        # the ids, as texts that others were made from tend to come first, and then more members are linked to their hub.
         one = linked.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"), F.count("*").alias("rows"))
-        classes = scratch(one.select("set_key", "rows", F.col("m.doc_id").alias("least"), F.col("m.n_shingles").alias("n_shingles"), F.col("m.sig").alias("sig"), F.monotonically_increasing_id().alias("rep")))
+        one = one.select("set_key", "rows", F.col("m.doc_id").alias("least"), F.col("m.n_shingles").alias("n_shingles"), F.col("m.sig").alias("sig"))
+        one = one.repartitionByRange("least", "set_key").sortWithinPartitions("least", "set_key")
+        classes = scratch(one.withColumn("rep", F.monotonically_increasing_id()))
         reps = classes.select("rep", "n_shingles", "sig")
         names = classes.select("rep", "set_key", "least")
         posted = _postings(reps)
