@@ -109,34 +109,45 @@ def _postings(reps: DataFrame) -> DataFrame:
         return keep(scratch(ranked.where(F.col("place") + COORDS - F.col("shared") <= COORDS - MATCHES + 1).select("key", "rep")))
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose signatures agree in ``MATCHES`` coordinates or more."""
+def _may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles can be similar enough at all: no intersection is larger than the smaller set."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes allow a link and whose signatures agree in ``MATCHES`` coordinates or more."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         hit = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1) >= MATCHES
+        hit &= _may_link(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
         return batch_of(schema, batch.column(0).filter(pa.array(hit)), batch.column(1).filter(pa.array(hit)))
 
-    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b"), one, "a long, b long").distinct()
+    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b", "n_a", "n_b"), one, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, items) with the whole shingle sets of the classes ``nodes`` (rep).
 
-    Texts are taken by id alone, so that the side that Spark may broadcast is narrow; of rows of one id with
-    other texts the sets have other names.
+    Texts are taken by id alone, as one id may stand in many classes; of rows of one id with other texts the sets
+    have other names. What is wanted is written first: with its size known before a join starts, Spark shuffles
+    neither texts nor sets to a side that it can broadcast. Sets are brought together by class only if rows repeat.
     """
     schema = pa.schema([("set_key", pa.binary()), ("items", pa.binary())])
 
     def as_set(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(0), width)
-        return batch_of(schema, [set_key(s) for s in sets], [s.tobytes() for s in sets])
+        once = {set_key(s): s.tobytes() for s in sets}
+        return batch_of(schema, list(once), list(once.values()))
 
-    wanted = classes.join(nodes, "rep").select("rep", "set_key", F.col("least").alias("doc_id"))
-    sets = map_arrow(docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text"), as_set, "set_key binary, items binary")
-    return scratch(sets.dropDuplicates(["set_key"]).join(wanted.select(F.col("rep").alias("node"), "set_key"), "set_key").select("node", "items"))
+    wanted = scratch(classes.join(nodes, "rep").select(F.col("least").alias("doc_id"), F.col("rep").alias("node"), "set_key"))
+    sets = map_arrow(docs.join(wanted, "doc_id", "left_semi").select("text"), as_set, "set_key binary, items binary")
+    sets = scratch(sets.join(wanted.select("node", "set_key"), "set_key").select("node", "items"))
+    if sets.groupBy("node").count().where("count > 1").isEmpty():
+        return sets
+    return scratch(sets.dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -178,16 +189,16 @@ def _blocks(members: DataFrame) -> DataFrame:
     return one.unionByName(left).unionByName(right).repartition("hub", "lb", "rb")
 
 
-def _outer_pairs(t: pa.Table):
-    """For each outsider of a block: its row, and the rows whose signatures agree with it, of other components, best first."""
+def _outer_pairs(t: pa.Table, percent: int):
+    """For each outsider of a block: its row, and the rows of other components that may be linked to it by size and signature, best first."""
     sig = _matrix(t.column("sig").combine_chunks())
-    rep, part, hub = (t.column(c).to_numpy() for c in ("rep", "component", "hub"))
+    rep, part, hub, n = (t.column(c).to_numpy() for c in ("rep", "component", "hub", "n_shingles"))
     role, minor = t.column("part").to_numpy(), part != t.column("major").to_numpy()
     members = np.flatnonzero((role != OUTSIDER) & (rep != hub))
     for u in np.flatnonzero((role != MEMBER) & minor & (rep != hub)):
         v = members[(part[members] != part[u]) & (~minor[members] | (rep[members] > rep[u]))]
         agree = (sig[v] == sig[u]).sum(axis=1)
-        near = agree >= MATCHES
+        near = (agree >= MATCHES) & _may_link(n[v], n[u], percent)
         if near.any():
             yield u, v[near][np.argsort(-agree[near], kind="stable")]
 
@@ -206,7 +217,7 @@ def _missed(posted: DataFrame, lists: DataFrame, found: DataFrame, reps: DataFra
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def near(t: pa.Table) -> pa.Table:
-        rows = {int(k) for u, v in _outer_pairs(t) for k in (u, *v)}
+        rows = {int(k) for u, v in _outer_pairs(t, percent) for k in (u, *v)}
         rep = t.column("rep").to_numpy()
         reps_of = np.unique(rep[sorted(rows)]) if rows else np.zeros(0, np.int64)
         return pa.Table.from_arrays([pa.array(np.full(len(reps_of), t.column("hub")[0].as_py())), pa.array(reps_of)], schema=near_schema)
@@ -215,14 +226,14 @@ def _missed(posted: DataFrame, lists: DataFrame, found: DataFrame, reps: DataFra
         rep, part = t.column("rep").to_numpy(), t.column("component").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items").combine_chunks()]
         out = []
-        for u, v in _outer_pairs(t):
+        for u, v in _outer_pairs(t, percent):
             mine, k = sets[u], 0
             while len(v):
                 if k and k % 8 == 0 or k == len(v):  # leave what is linked already
                     v, k = v[k:], 0
                     continue
                 other = sets[v[k]]
-                both = len(np.intersect1d(mine, other, assume_unique=True)) if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)) else 0
+                both = len(np.intersect1d(mine, other, assume_unique=True))
                 if 100 * both >= percent * (len(mine) + len(other) - both):
                     out.append((int(rep[u]), int(rep[v[k]])))
                     v, k = v[k + 1 :][part[v[k + 1 :]] != part[v[k]]], 0
@@ -262,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lists = scratch(posted.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
         with step() as hold:
             star = posted.join(lists, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-            edges = hold(scratch(_confirmed(scratch(_agreeing(star, reps)), docs, names, width, percent)))
+            edges = hold(scratch(_confirmed(scratch(_agreeing(star, reps, percent)), docs, names, width, percent)))
         found = connected_components(edges)
         with step() as hold:
             more = hold(scratch(_missed(posted, lists, found, reps, docs, names, width, percent)))
