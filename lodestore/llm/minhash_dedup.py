@@ -180,13 +180,14 @@ def _blocks(members: DataFrame) -> DataFrame:
     # Written first: joined to an aggregate, a hub with a third of all members could not be split.
     dealt = members.join(scratch(groups), "hub")
     rest = ["major", *(c for c in members.columns if c != "hub")]
-    one = dealt.where("nb = 1 AND mb = 1").selectExpr("hub", "0 AS lb", "0 AS rb", f"{BOTH} AS part", *rest)
-    large = dealt.where("nb > 1 OR mb > 1")
-    spread = lambda own, other: [f"cast(pmod(xxhash64(rep), {own}) AS int) AS own", f"explode(sequence(0, {other} - 1)) AS other"]
-    left = large.where("component <> major").selectExpr("hub", *spread("mb", "nb"), f"{OUTSIDER} AS part", *rest).withColumnsRenamed({"own": "lb", "other": "rb"})
-    right = large.selectExpr("hub", *spread("nb", "mb"), f"{MEMBER} AS part", *rest).withColumnsRenamed({"own": "rb", "other": "lb"})
+    own = lambda n: f"cast(pmod(xxhash64(rep), {n}) AS int)"
+    place = lambda lb, rb, part: f"named_struct('lb', {lb}, 'rb', {rb}, 'part', {part})"
+    left = f"transform(IF(component <> major, sequence(0, nb - 1), array()), k -> {place(own('mb'), 'k', OUTSIDER)})"
+    right = f"transform(sequence(0, mb - 1), k -> {place('k', own('nb'), MEMBER)})"
+    places = f"explode(IF(nb = 1 AND mb = 1, array({place('0', '0', BOTH)}), concat({left}, {right}))) AS at"
+    placed = dealt.selectExpr("hub", places, *rest).selectExpr("hub", "at.*", *rest)
     # Dealt anew: rows that are dealt by hub would keep all blocks of a hub in one task.
-    return one.unionByName(left).unionByName(right).repartition("hub", "lb", "rb")
+    return placed.repartition("hub", "lb", "rb")
 
 
 def _outer_pairs(t: pa.Table, percent: int):
