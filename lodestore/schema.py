@@ -48,6 +48,7 @@ L1_BYTES = 256 * 1024 * 1024
 L2_BYTES = 2560 * 1024 * 1024
 L0_SLOW_FILES, L0_STOP_FILES = 8, 12
 FRAGMENT_BYTES = 64 * 1024 * 1024
+FRAGMENT_ROWS = 128 * 1024
 BOTTOM_LEVEL = 3
 FREEZE_BYTES, FREEZE_SECONDS, MAX_FROZEN = 64 * 1024 * 1024, 300, 3
 MANIFESTS_KEPT = 100

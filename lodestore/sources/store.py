@@ -61,8 +61,9 @@ class Config:
     token_retention_ms: int | None = None
     #: Deletes are kept this long by a compaction that could drop them.
     tombstone_ttl_ms: int = 0
-    #: Data files are cut at about this size.
+    #: Data files are cut at about this size, or at this many rows: few bytes of a file can be many of a task's memory.
     file_bytes: int = s.FRAGMENT_BYTES
+    file_rows: int = s.FRAGMENT_ROWS
     #: Level 0 is compacted beyond so many commits, levels 1 and 2 beyond these sizes.
     l0_commits: int = s.L0_COMPACTION_FILES
     l1_bytes: int = s.L1_BYTES
@@ -85,7 +86,7 @@ class Config:
             bad = "fsync is sync or batch_sync"
         elif self.batch_interval_ms <= 0:
             bad = "the batch interval is positive"
-        elif min(self.file_bytes, self.l1_bytes, self.l2_bytes, self.l0_commits) <= 0 or self.grace_ms < 0:
+        elif min(self.file_bytes, self.file_rows, self.l1_bytes, self.l2_bytes, self.l0_commits) <= 0 or self.grace_ms < 0:
             bad = "sizes and limits of levels are positive"
         elif self.compression not in _CODECS:
             bad = f"compression is one of {', '.join(_CODECS)}"
@@ -183,6 +184,11 @@ def _sort_key(partition: Column, record: Column, key: Column) -> Column:
     return F.concat(big_endian(partition, 4), record.cast("binary"), F.lit(b"\0"), key)
 
 
+def _run(part: dict) -> str:
+    """What is compacted together: a commit at level 0, else files that make up about ``file_bytes``."""
+    return part["path"].partition("/")[0] if part["level"] == 0 else part.get("run", part["id"])
+
+
 class Namespace:
     def __init__(self, store: Store, name: str):
         self.store, self.name, self.spark, self.files = store, name, store.spark, store.files
@@ -271,12 +277,17 @@ class Namespace:
         self._allow(_READS)
         return kernel.visible_items(self.log(snapshot, as_of))
 
-    def _write_files(self, rows: DataFrame, folder: str, files: int | None) -> None:
-        """Rows by ranges of partition, record and key, sorted; a record with a third of all rows is cut inside."""
+    def _write_files(self, rows: DataFrame, folder: str, files: int | None, small: bool) -> None:
+        """Rows by ranges of partition, record and key, sorted; a record with a third of all rows is cut inside.
+
+        Only a ``small`` batch is coalesced: that would have one task run all that ``rows`` come of.
+        """
         config, by = self.config, ["partition_id", "record_id", "item_key"]
         # Without a number Spark joins small ranges at run time.
-        dealt = rows.coalesce(1) if files == 1 else rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
+        dealt = rows.coalesce(1) if small else rows.repartitionByRange(files, *by) if files else rows.repartitionByRange(*by)
         writer = dealt.sortWithinPartitions(*by, F.desc("seq")).write.option("compression", _CODECS[config.compression])
+        # Splits of a scan are measured in bytes and files, so that a task's rows are bounded only if a file's are.
+        writer = writer.option("maxRecordsPerFile", config.file_rows)
         # As large as a file's own keys need; by default each filter has a megabyte.
         writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in ("record_id", "token") if files != 1 else ():
@@ -295,13 +306,20 @@ class Namespace:
                 self.files.delete(f"{self.name}/data/{folder}")
             self.files.delete(f"{self.name}/pending/{folder}")
 
-    def _write_parts(self, rows: DataFrame, level: int, folder: str, files: int | None = None) -> list[dict]:
+    def _write_parts(self, rows: DataFrame, level: int, folder: str, merged: list[dict] | None = None, small: bool = False) -> list[dict]:
         """Rows become files of a claimed folder; returns their entries for a snapshot.
 
+        ``merged`` are the files that the rows come of, if they are known: their bytes say how many runs of files are
+        written, and their rows how many files a run is cut into.
+
         The entries come from the files' keys and sequences, read back: values are not read again. A range
         delete counts for all keys that it covers, so that files it could touch meet its own.
         """
-        self._write_files(rows.select(s.MUTATION_LOG.names), folder, files)
+        config, runs, files = self.config, None, 1 if small else None
+        if merged:
+            runs = -(-sum(p["size_bytes"] for p in merged) // config.file_bytes)
+            files = max(runs, -(-sum(p["entry_count"] for p in merged) // config.file_rows))
+        self._write_files(rows.select(s.MUTATION_LOG.names), folder, files, small)
         key = _sort_key(F.col("partition_id"), F.col("record_id"), F.col("item_key"))
         beyond = F.concat(big_endian(F.col("partition_id"), 4), F.col("record_id").cast("binary"), F.lit(b"\1"))
         end = F.when(F.octet_length("range_end") > 0, _sort_key(F.col("partition_id"), F.col("record_id"), F.col("range_end"))).otherwise(beyond)
@@ -310,21 +328,23 @@ class Namespace:
         stats = written.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")).agg(
             F.count("*").alias("n"), F.count("token").alias("tokens"), F.min("seq").alias("seq_min"), F.max("seq").alias("seq_max"), F.hex(F.min(key)).alias("min_key"), F.hex(F.max(last)).alias("max_key")
         )
-        now = int(time.time() * 1000)
+        now, found = int(time.time() * 1000), sorted(stats.collect(), key=lambda r: r["file"])
+        # Files in turn make up a run, which its first one names. Without a number of runs, each file is one.
+        heads, runs = {}, min(runs or len(found), len(found))
         return [
-            {"id": f"{folder}/{r['file']}", "path": f"{folder}/{r['file']}", "level": level, "entry_count": r["n"], "tokens": r["tokens"], "size_bytes": r["size"], "seq_min": r["seq_min"], "seq_max": r["seq_max"], "min_key": r["min_key"].lower(), "max_key": r["max_key"].lower(), "created_at_ms": now}
-            for r in sorted(stats.collect(), key=lambda r: r["file"])
+            {"id": f"{folder}/{r['file']}", "run": f"{folder}/{heads.setdefault(k * runs // len(found), r['file'])}", "path": f"{folder}/{r['file']}", "level": level, "entry_count": r["n"], "tokens": r["tokens"], "size_bytes": r["size"], "seq_min": r["seq_min"], "seq_max": r["seq_max"], "min_key": r["min_key"].lower(), "max_key": r["max_key"].lower(), "created_at_ms": now}
+            for k, r in enumerate(found)
         ]
 
     def file_meta(self, snapshot: int | None = None) -> DataFrame:
-        """FILE_META of a snapshot, for the functions in operators.maintenance. Level 0 has a row a commit, as files of one are compacted together."""
+        """FILE_META of a snapshot, for the functions in operators.maintenance. It has a row for the files that are compacted together, see _run."""
         return self._meta(self.snapshot(snapshot)["parts"])
 
     def _meta(self, parts: list[dict]) -> DataFrame:
         kind = "id string, level int, entry_count long, size_bytes long, seq_min long, seq_max long, min_key string, max_key string, created_at_ms long"
         names, runs = [c.split()[0] for c in kind.split(", ")], {}
         for p in parts:
-            runs.setdefault(p["path"].partition("/")[0] if p["level"] == 0 else p["id"], []).append(p)
+            runs.setdefault(_run(p), []).append(p)
         fold = {"level": max, "entry_count": sum, "size_bytes": sum, "seq_min": min, "seq_max": max, "min_key": min, "max_key": max, "created_at_ms": min}
         return self.spark.createDataFrame([(i, *(fold[n](p[n] for p in run) for n in names[1:])) for i, run in runs.items()], kind)
     # Writing
@@ -352,7 +372,7 @@ class Namespace:
             rows, staged = self._numbered(changes, base, unique_ord, small)
             if tokens:
                 rows = dedup.new_rows(rows, self._seen(base, config, changes if small else None))
-            parts = self._write_parts(rows, 0, folder, 1 if small else None)
+            parts = self._write_parts(rows, 0, folder, small=small)
             let_go(*staged)
             streams = base["streams"] | ({stream[0]: stream[1]} if stream else {})
             try:
@@ -548,17 +568,16 @@ class Namespace:
     def compact_level(self, level: int, compactor: int | None = None, retries: int = 5, inputs: set[str] | None = None) -> dict:
         """Merge a level's sources (all of level 0, else its oldest file) with what they overlap in the next level.
 
-        One file that overlaps nothing only changes its label. ``inputs`` are ids that were chosen already; they
+        One source that overlaps nothing only changes its label. ``inputs`` are ids that were chosen already; they
         are chosen anew if one of them is gone.
         """
 
         def choose(parts: list[dict]) -> tuple[list[dict], int]:
-            run = lambda p: p["path"].partition("/")[0] if p["level"] == 0 else p["id"]
             ids = inputs
-            if ids is None or not ids <= {run(p) for p in parts}:
+            if ids is None or not ids <= {_run(p) for p in parts}:
                 limits = [-1 if k == level else 1 << 62 for k in range(3)]
                 ids = {r["id"] for r in maintenance.compaction_inputs(self._meta(parts), *limits).collect()}
-            return [p for p in parts if run(p) in ids], level + 1
+            return [p for p in parts if _run(p) in ids], level + 1
 
         return self._compact(choose, compactor, retries)
 
@@ -573,16 +592,16 @@ class Namespace:
             gone, claims, tokens = {p["id"] for p in chosen}, [], base.get("tokens", [])
             rest = [p for p in base["parts"] if p["id"] not in gone]
             fresh = [p for p in chosen if p["level"] == 0 and p["tokens"]]
-            if len(chosen) == 1 and 0 < chosen[0]["level"] < target < s.BOTTOM_LEVEL:  # maintenance.trivial_moves
-                parts = [chosen[0] | {"level": target}]
+            if len({_run(p) for p in chosen}) == 1 and 0 < chosen[0]["level"] < target < s.BOTTOM_LEVEL:  # maintenance.trivial_moves
+                parts = [p | {"level": target} for p in chosen]
             else:
-                rows, size = self._open(chosen), sum(p["size_bytes"] for p in chosen)
+                rows = self._open(chosen)
                 # Deletes go only where no other file holds what they could cover.
                 low, high = min(p["min_key"] for p in chosen), max(p["max_key"] for p in chosen)
                 alone = target >= s.BOTTOM_LEVEL and not any(p["min_key"] <= high and p["max_key"] >= low for p in rest)
                 before = int(time.time() * 1000) - config.tombstone_ttl_ms if config.tombstone_ttl_ms else None
                 claims.append(self._claim())
-                parts = self._write_parts(kernel.compact(rows, full=alone, drop_before_ms=before), target, claims[-1], -(-size // config.file_bytes))
+                parts = self._write_parts(kernel.compact(rows, full=alone, drop_before_ms=before), target, claims[-1], chosen)
             if fresh:
                 claims.append(self._claim())
                 tokens = self._merged_tokens(fresh, tokens, config, claims[-1])
@@ -600,7 +619,7 @@ class Namespace:
         """Token files with those of ``fresh`` added; what the retention has ended goes. Files that have grown are left as they are."""
         oldest = int(time.time() * 1000) - config.token_retention_ms if config.token_retention_ms is not None else None
         live = [p for p in tokens if oldest is None or p["newest_ms"] >= oldest]
-        small = [p for p in live if p["size_bytes"] < config.file_bytes // 2]
+        small = [p for p in live if p["size_bytes"] < config.file_bytes // 2 and p["entry_count"] < config.file_rows // 2]
         rows = self._open(fresh + small).where(F.col("token").isNotNull())
         if oldest is not None:
             rows = rows.where(F.col("created_at_ms") >= oldest)
@@ -608,8 +627,7 @@ class Namespace:
         once = rows.groupBy(*key).agg(F.min("seq").alias("seq"), F.max("created_at_ms").alias("created_at_ms"))
         none = F.lit(None).cast("binary")
         once = once.select("namespace", "partition_id", "record_id", F.lit(b"").alias("item_key"), F.lit(s.PUT).alias("op"), none.alias("range_end"), none.alias("value"), none.alias("metadata"), "token", "seq", "created_at_ms")
-        size = sum(p["size_bytes"] for p in fresh + small)
-        written = self._write_parts(once, 0, folder, -(-size // config.file_bytes))
+        written = self._write_parts(once, 0, folder, fresh + small)
         now = int(time.time() * 1000)
         return [p for p in live if p not in small] + [p | {"newest_ms": now} for p in written]
 

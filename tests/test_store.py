@@ -275,6 +275,34 @@ def test_levels(spark, store):
     assert seen >= {1, 2, 3} and any(written)  # some upkeep left files as they were
 
 
+def thousand(spark):
+    return spark.range(1000).selectExpr("concat('r', id % 7) AS record_id", "cast(cast(id AS string) AS binary) AS item_key", "cast(cast(id AS string) AS binary) AS value", "cast(lpad(id, 24, '0') AS binary) AS token", "id AS ord")
+
+
+def test_no_compaction_is_coalesced_into_one_task(spark, ns, monkeypatch):
+    """Files of few bytes can have many rows: their merge is dealt to tasks, though it is written as one file."""
+    ns.put_many(thousand(spark))
+    ns.put_many(thousand(spark))
+    monkeypatch.setattr(type(ns.log()), "coalesce", lambda self, n: pytest.fail("all that the rows come of would run in one task"))
+    ns.compact(full=False)
+    ns.compact(full=True)
+    assert len(ns.snapshot()["parts"]) == 1 and ns.items().count() == 1000
+
+
+def test_files_are_cut_by_rows_and_go_down_together(spark, store):
+    ns = store.create_namespace(Config("c", partitions=2, file_rows=90, l0_commits=1, l1_bytes=1))
+    ns.append(spark.createDataFrame([(f"r{i % 3}", b"%04d" % i, "PUT", None, b"%d" % i, b"", None, i) for i in range(1000)], "record_id string, item_key binary, op string, range_end binary, value binary, metadata binary, token binary, ord long"), unique_ord=True, tokens=False)
+    assert all(p["entry_count"] <= 90 for p in ns.snapshot()["parts"])
+    ns.compact(full=False)
+    parts = ns.snapshot()["parts"]
+    assert {p["level"] for p in parts} == {1} and len(parts) >= 12 and all(p["entry_count"] <= 90 for p in parts)
+    assert ns.file_meta().count() == 1  # one run: its files are far from file_bytes
+    ns.maintain()
+    moved = ns.snapshot()["parts"]
+    assert {p["level"] for p in moved} == {2} and [p["path"] for p in moved] == [p["path"] for p in parts]
+    assert {bytes(r.item_key) for r in ns.items().collect()} == {b"%04d" % i for i in range(1000)}
+
+
 def test_one_record_is_read_from_its_own_files(spark, store):
     ns = store.create_namespace(Config("p", partitions=1, file_bytes=2000))
     ns.put_many(workload.products(spark, 60))
