@@ -303,6 +303,18 @@ def test_files_are_cut_by_rows_and_go_down_together(spark, store):
     assert {bytes(r.item_key) for r in ns.items().collect()} == {b"%04d" % i for i in range(1000)}
 
 
+def test_vacuum_leaves_claimed_data_that_rows_cut(spark, store):
+    ns = store.create_namespace(Config("v", partitions=2, file_rows=90))
+    ns.put_many(thousand(spark).where("id < 500").drop("token"))
+    ns.compact()
+    gone = []
+    during_commit(ns, lambda: gone.extend(ns.vacuum(1)))
+    ns.put_many(thousand(spark).where("id >= 500").drop("token"))
+    parts = ns.snapshot()["parts"]
+    assert len(gone) == 1 and len(parts) >= 12 and all(p["entry_count"] <= 90 for p in parts)
+    assert {bytes(r.item_key) for r in ns.items().collect()} == {b"%d" % i for i in range(1000)}
+
+
 def test_one_record_is_read_from_its_own_files(spark, store):
     ns = store.create_namespace(Config("p", partitions=1, file_bytes=2000))
     ns.put_many(workload.products(spark, 60))
