@@ -315,6 +315,20 @@ def test_vacuum_leaves_claimed_data_that_rows_cut(spark, store):
     assert {bytes(r.item_key) for r in ns.items().collect()} == {b"%d" % i for i in range(1000)}
 
 
+def test_token_files_are_cut_by_rows_and_left_when_full(spark, store):
+    ns = store.create_namespace(Config("t", partitions=2, file_rows=90))
+    ns.put_many(thousand(spark))
+    ns.compact()
+    full = {p["path"] for p in ns.snapshot()["tokens"] if p["entry_count"] >= 45}
+    assert all(p["entry_count"] <= 90 for p in ns.snapshot()["tokens"]) and len(full) >= 6
+    again = thousand(spark).withColumn("value", F.lit(b"again"))
+    ns.put_many(again.unionByName(again.limit(5).withColumn("token", F.concat(F.lit(b"new"), F.col("token")))))
+    ns.compact()
+    assert full <= {p["path"] for p in ns.snapshot()["tokens"]} and sum(p["entry_count"] for p in ns.snapshot()["tokens"]) == 1005
+    ns.put_many(again)
+    assert ns.items().count() == 1000 and ns.items().where(F.col("value") == F.lit(b"again")).count() == 5
+
+
 def test_one_record_is_read_from_its_own_files(spark, store):
     ns = store.create_namespace(Config("p", partitions=1, file_bytes=2000))
     ns.put_many(workload.products(spark, 60))
